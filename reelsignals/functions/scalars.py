@@ -89,8 +89,30 @@ def parse_fps(text, default: float = 0.0) -> Column:
     )
 
 
+def py_round(value, digits: int = 3) -> Column:
+    """Round to the nearest, judged on the exact binary value (ties to even).
+
+    Only values next to a tie take the slow exact path.
+    """
+    x = _c(value)
+    scaled = x * F.lit(float(10**digits))
+    tie = F.abs(scaled - F.floor(scaled) - 0.5) < 1e-6
+    exact = F.call_function("format_number", x, F.lit("0." + "0" * digits)).cast("double")
+    return F.when(tie, exact).otherwise(F.rint(scaled) / F.lit(float(10**digits)))
+
+
 # --- text -----------------------------------------------------------------
 
+def strip(text) -> Column:
+    return F.regexp_replace(_c(text), r"^\s+|\s+$", "")
+
+
+def fixed(value, digits: int = 1) -> Column:
+    """Fixed-point text, rounded on the exact binary value."""
+    pattern = "0" if digits == 0 else "0." + "0" * digits
+    return F.call_function("format_number", _c(value), F.lit(pattern))
+
+
 def split_words(text) -> Column:
     """Whitespace split; blank text gives an empty array."""
     t = F.regexp_replace(_c(text), r"^\s+|\s+$", "")
@@ -186,7 +208,7 @@ def channel_label(channels) -> Column:
 
 
 def size_mb(length) -> Column:
-    return F.bround(_c(length) / 1048576.0, 1)
+    return py_round(_c(length) / 1048576.0, 1)
 
 
 def json_between(text, opener: str = "{", closer: str = "}") -> Column:

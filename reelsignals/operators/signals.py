@@ -73,7 +73,7 @@ def interest_stats(interest: DataFrame, order: str = "ts_idx") -> DataFrame:
     """Mean, peak and rising flag per keyword."""
     d = interest.groupBy("keyword").agg(
         F.avg("interest").alias("m"), F.max("interest").alias("p"), F.max_by("interest", order).alias("last_value"))
-    return d.select("keyword", F.bround("m", 1).alias("interest_7d"), F.bround("p", 1).alias("peak_interest"),
+    return d.select("keyword", S.py_round("m", 1).alias("interest_7d"), S.py_round("p", 1).alias("peak_interest"),
                     "last_value", (F.col("last_value") >= F.col("m") * 0.8).alias("rising"))
 
 

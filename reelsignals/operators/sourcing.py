@@ -52,14 +52,13 @@ def select_candidates(gated: DataFrame, relaxed_limit: int = 5) -> DataFrame:
     d = gated.join(any_pass, "query_id")
     strict = d.where("__any AND passes_quality").withColumn("relaxed", F.lit(False))
     fits = d.where(~F.col("__any") & F.col("duration_seconds").between(MIN_SEC, MAX_SEC))
-    relaxed = O.top_n(fits, ["query_id"], [F.col("video_id")], relaxed_limit, "__rn").drop("__rn")
+    relaxed = O.top_n(fits, ["query_id"], [F.col("view_count").desc(), F.col("video_id")], relaxed_limit, "__rn").drop("__rn")
     return strict.unionByName(relaxed.withColumn("relaxed", F.lit(True))).drop("__any")
 
 
 def queue(selected: DataFrame, attempts: int = 3) -> DataFrame:
     """The first few per query in the order they are tried."""
-    order = [F.when(~F.col("relaxed"), -F.col("view_count")).otherwise(0), F.col("video_id")]
-    return O.top_n(selected, ["query_id"], order, attempts, "rank")
+    return O.top_n(selected, ["query_id"], [F.col("view_count").desc(), F.col("video_id")], attempts, "rank")
 
 
 def first_valid(queued: DataFrame, attempts: DataFrame) -> DataFrame:

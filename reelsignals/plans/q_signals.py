@@ -151,7 +151,7 @@ def _(spark, d):
     return T.emerging(X.video_polls(spark, d), S.ntz_micros("poll_ts"), as_of, 72, 10_000).select("poll_id", "video_id", "view_count")
 
 
-_STATS = """SELECT keyword, round_even(avg(interest), 1) AS interest_7d, round_even(max(interest), 1) AS peak_interest,
+_STATS = """SELECT keyword, CAST(printf('%.1f', avg(interest)) AS DOUBLE) AS interest_7d, CAST(printf('%.1f', max(interest)) AS DOUBLE) AS peak_interest,
   arg_max(interest, ts_idx) AS last_value, arg_max(interest, ts_idx) >= avg(interest) * 0.8e0 AS rising FROM f_interest GROUP BY keyword"""
 CTES["f_stats"] = _STATS
 
@@ -181,7 +181,7 @@ def _(spark, d):
 
 
 @query("s04_interest_series_scan", """SELECT keyword, coalesce(m, 50e0) AS interest_7d, n FROM (SELECT DISTINCT event_type AS keyword FROM f_ev UNION ALL SELECT r_name FROM region)
-  LEFT JOIN (SELECT keyword, round_even(avg(v), 1) AS m, count(*) AS n FROM (SELECT event_type AS keyword, date_trunc('day', ts) AS day,
+  LEFT JOIN (SELECT keyword, CAST(printf('%.1f', avg(v)) AS DOUBLE) AS m, count(*) AS n FROM (SELECT event_type AS keyword, date_trunc('day', ts) AS day,
   CAST(sum(k) AS DOUBLE) AS v FROM f_ev GROUP BY 1, 2) GROUP BY 1) USING (keyword)""")
 def _(spark, d):
     ev = X.events(spark, d)

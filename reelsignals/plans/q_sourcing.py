@@ -100,10 +100,10 @@ def _queries_by_brand_and_size(spark, d):
     return c.withColumn("query_id", F.concat("query_id", F.lit("/"), F.col("duration_seconds").cast("string")))
 
 
-CTES["f_sel"] = """SELECT *, bool_or(passes_quality) OVER (PARTITION BY qid) AS any_pass, row_number() OVER (PARTITION BY qid ORDER BY video_id) AS rn FROM
+CTES["f_sel"] = """SELECT *, bool_or(passes_quality) OVER (PARTITION BY qid) AS any_pass, row_number() OVER (PARTITION BY qid ORDER BY view_count DESC, video_id) AS rn FROM
   (SELECT *, query_id || '/' || CAST(duration_seconds AS VARCHAR) AS qid FROM f_gated WHERE duration_seconds BETWEEN 900 AND 1800)"""
 CTES["f_selected"] = "SELECT qid AS query_id, video_id, view_count, NOT any_pass AS relaxed FROM f_sel WHERE (any_pass AND passes_quality) OR (NOT any_pass AND rn <= 5)"
-CTES["f_queue"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN relaxed THEN 0 ELSE -view_count END, video_id) AS rank FROM f_selected) WHERE rank <= 3"""
+CTES["f_queue"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY view_count DESC, video_id) AS rank FROM f_selected) WHERE rank <= 3"""
 
 
 @query("p10_relaxed_gate", "SELECT query_id, video_id, relaxed FROM f_selected")
@@ -201,7 +201,7 @@ def _(spark, d):
 
 
 @query("f17_labels", """SELECT media_id, CAST(width AS VARCHAR) || 'x' || CAST(height AS VARCHAR) AS size, CASE WHEN channels = 2 THEN 'stereo' ELSE CAST(channels AS VARCHAR) || 'ch' END AS audio,
-  round_even(duration * 1e5 / 1048576e0, 1) AS mb FROM f_probes WHERE has_video AND has_audio""")
+  CAST(printf('%.1f', duration * 1e5 / 1048576e0) AS DOUBLE) AS mb FROM f_probes WHERE has_video AND has_audio""")
 def _(spark, d):
     return probes(spark, d).where("has_video AND has_audio").select(
         "media_id", S.size_label("width", "height").alias("size"), S.channel_label("channels").alias("audio"), S.size_mb(F.col("duration") * 1e5).alias("mb"))

@@ -109,10 +109,10 @@ def scan_alignment(docs: DataFrame, column: str = "blob", key: str = "media_id")
     last = F.try_element_at(segs, F.lit(-1))["end"]
     d = d.select(key, F.coalesce(last, F.lit(0.0)).alias("duration"), F.posexplode(segs).alias("seg_idx", "s"))
     return d.select(
-        key, "duration", "seg_idx", F.trim(F.coalesce("s.text", F.lit(""))).alias("text"), F.coalesce("s.start", F.lit(0.0)).alias("start"),
+        key, "duration", "seg_idx", S.strip(F.coalesce("s.text", F.lit(""))).alias("text"), F.coalesce("s.start", F.lit(0.0)).alias("start"),
         F.coalesce("s.end", F.lit(0.0)).alias("end"), F.coalesce("s.score", F.lit(1.0)).alias("score"), F.col("s.speaker").alias("speaker"),
         F.transform(F.coalesce("s.words", F.array().cast(f"array<struct<{WORD}>>")), lambda w: F.struct(
-            F.trim(F.coalesce(w["text"], F.lit(""))).alias("word"), F.coalesce(w["start"], F.lit(0.0)).alias("start"),
+            S.strip(F.coalesce(w["text"], F.lit(""))).alias("word"), F.coalesce(w["start"], F.lit(0.0)).alias("start"),
             F.coalesce(w["end"], F.lit(0.0)).alias("end"), F.coalesce(w["score"], F.lit(1.0)).alias("score"))).alias("words"))
 
 
@@ -121,8 +121,8 @@ def scan_rttm(lines: DataFrame, column: str = "value", *keep: str) -> DataFrame:
     d = lines.select(*keep, S.split_words(column).alias("f"))
     d = d.where((F.size("f") >= 9) & (F.get("f", F.lit(0)) == "SPEAKER"))
     start, dur = F.get("f", F.lit(3)).try_cast("double"), F.get("f", F.lit(4)).try_cast("double")
-    return d.select(*keep, F.get("f", F.lit(1)).alias("file"), F.bround(start, 3).alias("start"),
-                    F.bround(start + dur, 3).alias("end"), F.get("f", F.lit(7)).alias("speaker"))
+    return d.select(*keep, F.get("f", F.lit(1)).alias("file"), S.py_round(start, 3).alias("start"),
+                    S.py_round(start + dur, 3).alias("end"), F.get("f", F.lit(7)).alias("speaker"))
 
 
 # --- model and tool output ------------------------------------------------
