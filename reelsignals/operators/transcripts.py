@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from . import intervals as I
@@ -127,7 +128,7 @@ def transcript_lines(segments: DataFrame) -> DataFrame:
         F.lit("["), S.fixed("start"), F.lit("s - "), S.fixed("end"), F.lit("s] "), "text"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def word_error_rate(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """Word edits (substitute, insert, delete) over reference length, per row."""
 

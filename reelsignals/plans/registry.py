@@ -43,6 +43,8 @@ def with_ctes(body: str) -> str:
         return body
     heads = ",\n".join(f"{n} AS ({CTES[n]})" for n in needed)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {heads},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {heads},\n{body[5:]}"
     return f"WITH {heads}\n{body}"

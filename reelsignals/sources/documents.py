@@ -135,7 +135,7 @@ def scan_model_moments(texts: DataFrame, column: str = "response", key: str = "m
 
     No brackets give no rows; an unreadable array gives three even fallback spans.
     """
-    body = S.json_between(column, r"\[", r"\]")
+    body = S.json_between(column, "[", "]")
     d = texts.select(key, duration, body.alias("body"), F.from_json(body, MOMENT, {"mode": "PERMISSIVE"}).alias("parsed"))
     good = F.transform("parsed", lambda m: F.struct(
         F.coalesce(m["start_time"], F.lit(0.0)).alias("start_time"), F.coalesce(m["end_time"], F.lit(30.0)).alias("end_time"),
@@ -153,7 +153,7 @@ def scan_model_moments(texts: DataFrame, column: str = "response", key: str = "m
 
 def scan_theme(texts: DataFrame, column: str = "response", key: str = "media_id") -> DataFrame:
     """Overall theme object from free model text, with the default pair."""
-    o = F.from_json(S.json_between(column, r"\{", r"\}"), "theme string, audience string")
+    o = F.from_json(S.json_between(column), "theme string, audience string")
     return texts.select(key, F.coalesce(o["theme"], F.lit("Unknown")).alias("theme"),
                         F.coalesce(o["audience"], F.lit("General")).alias("audience"))
 
