@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
 from . import folds
 from . import ordered as O
 from .signals import union_sources
@@ -26,10 +27,11 @@ def dedupe_triggers(triggers: DataFrame, key: str = "media_id", gap: float = 0.1
     long ones stream through the same rule row by row.
     """
     sec = F.floor(F.col("timestamp") / 600.0).cast("bigint")
-    d = triggers.withColumn("__o", F.struct("timestamp", "part", "source_idx"))
+    d = durable(triggers).withColumn("__o", F.struct("timestamp", "part", "source_idx"))
     d = O.shifted(d, [key], "__o", {"__prev": F.col("timestamp")}, chunk=sec)
     fresh = F.when(F.col("__prev").isNull() | (F.col("timestamp") - F.col("__prev") > gap), 1).otherwise(0)
-    d = O.running_sum(d, [key], "__o", fresh, "stretch", chunk=sec).drop("__prev", "__o")
+    d = durable(d.withColumn("__new", fresh).drop("__prev"))
+    d = durable(O.running_sum(d, [key], "__o", F.col("__new"), "stretch", chunk=sec).drop("__new", "__o"))
     long = d.groupBy(key, "stretch").count().where(F.col("count") > array_limit).select(key, "stretch")
     item = F.struct("timestamp", "part", "source_idx", "effect_type", "intensity", "duration", "source")
     short = d.join(long, [key, "stretch"], "left_anti").groupBy(key, "stretch").agg(F.array_sort(F.collect_list(item)).alias("xs"))

@@ -105,27 +105,30 @@ def shifted(
 def last_known(
     df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str,
     chunk: Column | None = None, fallback: Column | None = None,
-    first_if_none: bool = False,
+    first_value: Column | None = None,
 ) -> DataFrame:
-    """Latest non-null value up to each row; optionally the first one ever before that."""
+    """Latest non-null ``value`` up to each row; before any, the first non-null
+    ``first_value`` of the key (if given), then ``fallback``."""
+    look_ahead = first_value is not None
     d = chunked(df, order, chunk).withColumn("__v", value)
+    d = d.withColumn("__w", first_value if look_ahead else F.lit(None))
     summary = {
         "__l": F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col(order))),
-        "__f": F.min_by("__v", F.when(F.col("__v").isNotNull(), F.col(order))),
     }
     carried = {"__in": lambda w: F.last("__l", ignorenulls=True).over(before(w))}
-    if first_if_none:
+    if look_ahead:
+        summary["__f"] = F.min_by("__w", F.when(F.col("__w").isNotNull(), F.col(order)))
         carried["__first"] = lambda w: F.first("__f", ignorenulls=True).over(
             w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         )
     d = with_carry(d, keys, summary, carried)
     w = chunk_window(keys, [order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tries = [F.last("__v", ignorenulls=True).over(w), F.col("__in")]
-    if first_if_none:
+    if look_ahead:
         tries.append(F.col("__first"))
     if fallback is not None:
         tries.append(fallback)
-    return d.withColumn(out, F.coalesce(*tries)).drop(CHUNK, "__v", "__in", "__first")
+    return d.withColumn(out, F.coalesce(*tries)).drop(CHUNK, "__v", "__w", "__in", "__first")
 
 
 def islands(
@@ -167,8 +170,9 @@ def exact_percentiles(
     """
     d = df.select(*keys, F.col(value).alias("__v")).where(F.col("__v").isNotNull())
     counts = d.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    bounds = d.groupBy(*keys).agg(
-        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count(F.lit(1)).alias("__n")
+    # derived from the counts, whose shuffle all readers share
+    bounds = counts.groupBy(*keys).agg(
+        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("__n")
     )
     bin_no = F.coalesce(
         F.floor(F.try_divide(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * (bins - 1)),

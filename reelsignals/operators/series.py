@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import durable
 from . import ordered as O
 
 
@@ -76,8 +77,9 @@ def hysteresis_peaks(series: DataFrame, limits: DataFrame, frame_sec: float, key
     hi = F.col("peak_threshold")
     change = F.when(F.col("e") > hi, True).when(F.col("e") < hi * 0.8, False)
     d = O.last_known(d, [key], "frame_idx", change, "in_peak", fallback=F.lit(False))
+    d = durable(d.select(key, "frame_idx", "e", "in_peak"))
     runs = flagged_segments(d, F.col("in_peak"), key, "frame_idx", F.max_by("e", "frame_idx").alias("intensity"))
-    last = series.groupBy(key).agg((F.max("frame_idx") + 1).alias("__n"))
+    last = d.groupBy(key).agg((F.max("frame_idx") + 1).alias("__n"))
     runs = runs.join(last, key).where(F.col("end_frame") < F.col("__n")).drop("__n")
     runs = runs.withColumns({"timestamp": F.col("first_frame") * F.lit(frame_sec),
                              "duration": F.col("end_frame") * F.lit(frame_sec) - F.col("first_frame") * F.lit(frame_sec)})

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import effects as X2
 from ..operators import ordered as O
 from ..operators import series as R
+from ..session import durable
 from . import fixtures as X
 from .registry import CTES, query
 
@@ -74,8 +75,8 @@ CTES["f_peaks"] = f"""SELECT media_id, f0, f0 * {HOP}e0 AS "timestamp", f1 * {HO
 
 
 def peaks(spark, d):
-    s = X.series(spark, d)
-    return R.hysteresis_peaks(s, R.thresholds(s), HOP)
+    s = durable(X.series(spark, d))
+    return R.hysteresis_peaks(s, durable(R.thresholds(s)), HOP)
 
 
 @query("w04_hysteresis_peaks", 'SELECT media_id, "timestamp", duration, round(intensity, 6) AS intensity FROM f_peaks')
@@ -121,8 +122,8 @@ CTES["f_alltrig"] = """SELECT *, row_number() OVER (PARTITION BY media_id ORDER
 
 
 def triggers(spark, d, array_limit=5000):
-    s = X.series(spark, d)
-    lim = R.thresholds(s)
+    s = durable(X.series(spark, d))
+    lim = durable(R.thresholds(s))
     allt = X2.all_triggers(R.peak_triggers(R.hysteresis_peaks(s, lim, HOP)), R.onset_triggers(s, lim, HOP), R.beat_triggers(series_beats(spark, d)))
     return X2.dedupe_triggers(allt, array_limit=array_limit)
 
@@ -151,16 +152,16 @@ def _(spark, d):
 @query("a11_effect_plan", """SELECT media_id, average_energy, coalesce(zoom, 0) AS zoom, coalesce(shake, 0) AS shake FROM (SELECT media_id, round(avg(rms), 6) AS average_energy FROM f_series GROUP BY 1)
   LEFT JOIN (SELECT media_id, count(*) FILTER (WHERE effect_type = 'zoom') AS zoom, count(*) FILTER (WHERE effect_type = 'shake') AS shake FROM (SELECT * FROM f_ptrig UNION ALL SELECT * FROM f_otrig) GROUP BY 1) USING (media_id)""")
 def _(spark, d):
-    s = X.series(spark, d)
-    lim = R.thresholds(s)
+    s = durable(X.series(spark, d))
+    lim = durable(R.thresholds(s))
     t = X2.all_triggers(R.peak_triggers(R.hysteresis_peaks(s, lim, HOP)), R.onset_triggers(s, lim, HOP))
     return X2.plan_summary(t, s).select("media_id", "average_energy", "zoom", "shake")
 
 
 @query("a11_effect_totals", """SELECT media_id, effect_type, count(*) AS n FROM (SELECT * FROM f_ptrig UNION ALL SELECT * FROM f_otrig) GROUP BY ROLLUP (media_id, effect_type)""")
 def _(spark, d):
-    s = X.series(spark, d)
-    lim = R.thresholds(s)
+    s = durable(X.series(spark, d))
+    lim = durable(R.thresholds(s))
     t = X2.all_triggers(R.peak_triggers(R.hysteresis_peaks(s, lim, HOP)), R.onset_triggers(s, lim, HOP))
     return X2.plan_totals(t)
 
@@ -237,9 +238,9 @@ def _(spark, d):
     return R.moving_average3(X.series(spark, d), "onset", "smooth").select("media_id", "frame_idx", R6("smooth").alias("smooth"))
 
 
-@query("x06_look_ahead_smoothing", """SELECT media_id, frame_idx, round(avg(rms) OVER (PARTITION BY media_id ORDER BY frame_idx ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING), 6) AS smooth FROM f_series""")
+@query("x06_look_ahead_smoothing", """SELECT media_id, frame_idx, round(avg(rms) OVER (PARTITION BY media_id ORDER BY frame_idx ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING), 9) AS smooth FROM f_series""")
 def _(spark, d):
-    return R.look_ahead_mean(X.series(spark, d), "rms", "smooth", 7, chunk_rows=256).select("media_id", "frame_idx", R6("smooth").alias("smooth"))
+    return R.look_ahead_mean(X.series(spark, d), "rms", "smooth", 7, chunk_rows=256).select("media_id", "frame_idx", F.round("smooth", 9).alias("smooth"))
 
 
 CTES["f_hist"] = """SELECT media_id, frame_idx, list_transform(range(32), lambda b: len(list_filter(pixels, lambda x: least(31, floor(x * 32)) = b)) / (len(pixels) + 1e-8)) AS h FROM f_frames"""

@@ -42,7 +42,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    Used between chained operators that read their input more than once, so that a
+    chain costs the sum of its steps and a lost executor costs one step.
+    """
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_root(spark))
     return df.checkpoint(eager=True)
