@@ -89,7 +89,7 @@ def best_track(summary: DataFrame, key: str = "media_id") -> DataFrame:
 
 
 def frame_spine(media: DataFrame, n: str = "n_frames", key: str = "media_id") -> DataFrame:
-    return media.where(F.col(n) > 0).select(key, F.explode(F.sequence(F.lit(0), F.col(n) - 1)).cast("int").alias("frame_idx"))
+    return media.where(F.col(n) > 0).select(key, F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))).alias("frame_idx"))
 
 
 def hold_last(spine: DataFrame, points: DataFrame, frame_w: int = 1920, frame_h: int = 1080, key: str = "media_id") -> DataFrame:

@@ -14,8 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+def events(spark, sf_dir, raw: DataFrame | None = None) -> DataFrame:
+    return (table(spark, sf_dir, "events") if raw is None else raw).select(
         "event_id", "ts", "user_id", "event_type", "value",
         F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"),
     )
@@ -28,11 +28,11 @@ PLATFORM = {"click": "tiktok", "view": "youtube_api", "purchase": "youtube_searc
             "signup": "twitter", "error": "youtube"}
 
 
-def signals(spark, sf_dir) -> DataFrame:
+def signals(spark, sf_dir, raw: DataFrame | None = None) -> DataFrame:
     platform = F.create_map(*[F.lit(x) for kv in PLATFORM.items() for x in kv])
     number = F.concat(F.floor("value").cast("string"), F.lit("."), (F.col("k") % 10).cast("string"))
     unit = F.element_at(F.array(*[F.lit(u) for u in ("K", " m", " views", "B+")]), F.col("k") % 4 + 1)
-    return events(spark, sf_dir).select(
+    return events(spark, sf_dir, raw).select(
         F.col("event_id").alias("arrival_idx"), "ts", F.col("user_id").alias("video_id"),
         platform[F.col("event_type")].alias("platform"),
         F.concat(F.lit("Topic "), (F.col("user_id") % 40).cast("string"), F.lit(" "), "event_type").alias("title"),
@@ -301,11 +301,11 @@ STAGES = ["Transcription", "Audio Transcription", "Video Analysis", "Subject Tra
           "Short Generation", "Editing", "Metadata Generation", "Export", "Thumbnail Extraction", "Quality Assurance"]
 
 
-def progress_events(spark, sf_dir) -> DataFrame:
+def progress_events(spark, sf_dir, raw: DataFrame | None = None) -> DataFrame:
     kind = F.when(F.col("event_type") == "view", "stage_start").when(F.col("event_type") == "purchase", "stage_complete").when(
         F.col("event_type") == "error", "error").otherwise("step")
     stage = F.element_at(F.array(*[F.lit(s) for s in STAGES]), F.col("k") % 11 + 1)
-    return events(spark, sf_dir).select(
+    return events(spark, sf_dir, raw).select(
         F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), "ts", kind.alias("type"),
         stage.alias("stage"), F.col("k").alias("current"), F.lit(100).alias("total"))
 

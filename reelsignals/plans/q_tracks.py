@@ -112,9 +112,9 @@ CTES["f_steps"] = """SELECT media_id, track_id, frame_idx, CASE WHEN nose_x IS N
   ELSE sqrt(pow(cx - lag(cx) OVER w, 2) + pow(cy - lag(cy) OVER w, 2)) END AS step FROM f_geo WINDOW w AS (PARTITION BY media_id, track_id ORDER BY frame_idx)"""
 
 
-@query("w19_track_motion", "SELECT media_id, track_id, coalesce(round(avg(step), 5), 0e0) AS motion, count(*) AS points FROM f_steps GROUP BY 1, 2")
+@query("w19_track_motion", "SELECT media_id, track_id, coalesce(round(avg(step), 6), 0e0) AS motion, count(*) AS points FROM f_steps GROUP BY 1, 2")
 def _(spark, d):
-    return P.track_motion(points(spark, d), ["media_id", "track_id"]).select("media_id", "track_id", F.round("motion", 5).alias("motion"), "points")
+    return P.track_motion(points(spark, d), ["media_id", "track_id"]).select("media_id", "track_id", "motion", "points")
 
 
 def speech(spark, d):
