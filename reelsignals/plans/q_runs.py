@@ -96,7 +96,7 @@ CTES["f_items"] = """SELECT page_id, 0 AS item_idx, replace(replace(replace(repl
   replace(regexp_extract(html, '(?s)<article[^>]*>.*?<a [^>]*href="([^"]*)"', 1), '&amp;', '&') AS url, regexp_extract(url, '://([^/]+)', 1) AS host FROM pages WHERE contains(html, '<article')"""
 
 
-@query("s01_page_extraction", "SELECT page_id, item_idx, trim(title) AS title, url FROM f_items")
+@query("s01_page_extraction", "SELECT page_id, item_idx, trim(title) AS title, nullif(url, '') AS url FROM f_items")
 def _(spark, d):
     return G.extract_pages(X.table(spark, d, "pages"), "article", _FIELDS)
 

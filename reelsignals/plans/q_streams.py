@@ -64,7 +64,8 @@ def _(spark, d):
 @query("t03_acceleration_stream", "SELECT poll_id, video_id, round(accel, 6) AS acceleration FROM f_polls_s")
 def _(spark, d):
     room = _room(spark)
-    polls = T.add_velocity(X.video_polls(spark, d), S.ntz_micros("poll_ts")).select("video_id", "poll_id", "views_per_hour")
+    polls = T.add_velocity(X.video_polls(spark, d), S.ntz_micros("poll_ts")).select(
+        "video_id", "poll_id", F.col("poll_ts").cast("timestamp").alias("poll_ts"), "views_per_hour")
     polls.write.parquet(f"{room}/polls")
     s = GT.acceleration_stream(GT.file_stream(spark, f"{room}/polls", polls.schema, files_per_trigger=1000))
     return settle(spark, s).select("poll_id", "video_id", F.round("acceleration", 6).alias("acceleration"))

@@ -70,12 +70,13 @@ def running_scores(spark: SparkSession, events: DataFrame, out: str, state: str,
 VELOCITY = "video_id bigint, poll_id bigint, views_per_hour double, acceleration double"
 
 
-def acceleration_stream(polls: DataFrame, ttl: str = "7 days") -> DataFrame:
-    """Acceleration against the last snapshot of the same video, kept as state with a time limit.
+def acceleration_stream(polls: DataFrame, ttl: str = "7 days", late: str = "1 day") -> DataFrame:
+    """Acceleration against the last snapshot of the same video.
 
-    ``polls``: video_id, poll_id, views_per_hour.
+    The snapshot is state that ends ``ttl`` of event time after the last poll.
+    ``polls``: video_id, poll_id, poll_ts (timestamp), views_per_hour.
     """
-    hours = pd.Timedelta(ttl)
+    keep_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -88,7 +89,9 @@ def acceleration_stream(polls: DataFrame, ttl: str = "7 days") -> DataFrame:
             prev.iloc[0] = last
         rows["acceleration"] = (rows["views_per_hour"] - prev).fillna(0.0)
         state.update((float(rows["views_per_hour"].iloc[-1]),))
-        state.setTimeoutDuration(int(hours.total_seconds() * 1000))
+        ends = int(rows["poll_ts"].max().timestamp() * 1000) + keep_ms
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield rows[["video_id", "poll_id", "views_per_hour", "acceleration"]]
 
-    return polls.groupBy("video_id").applyInPandasWithState(step, VELOCITY, "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return polls.withWatermark("poll_ts", late).groupBy("video_id").applyInPandasWithState(
+        step, VELOCITY, "last double", "append", GroupStateTimeout.EventTimeTimeout)
