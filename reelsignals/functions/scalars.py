@@ -92,13 +92,17 @@ def parse_fps(text, default: float = 0.0) -> Column:
 def py_round(value, digits: int = 3) -> Column:
     """Round to the nearest, judged on the exact binary value (ties to even).
 
-    Only values next to a tie take the slow exact path.
+    The product with the power of ten is followed by its exact rounding error
+    (splitting the factor in two halves), so that near-ties fall on the right side.
     """
-    x = _c(value)
-    scaled = x * F.lit(float(10**digits))
-    tie = F.abs(scaled - F.floor(scaled) - 0.5) < 1e-6
-    exact = F.call_function("format_number", x, F.lit("0." + "0" * digits)).cast("double")
-    return F.when(tie, exact).otherwise(F.rint(scaled) / F.lit(float(10**digits)))
+    x, b = _c(value), F.lit(float(10**digits))
+    p, c = x * b, x * F.lit(134217729.0)
+    high = c - (c - x)
+    error = (high * b - p) + (x - high) * b
+    k = F.floor(p).cast("double")
+    side = (p - k - 0.5) + error
+    up = F.when(side > 0, 1.0).when(side < 0, 0.0).otherwise(F.pmod(k, F.lit(2.0)))
+    return (k + up) / b
 
 
 # --- text -----------------------------------------------------------------
@@ -110,7 +114,7 @@ def strip(text) -> Column:
 def fixed(value, digits: int = 1) -> Column:
     """Fixed-point text, rounded on the exact binary value."""
     pattern = "0" if digits == 0 else "0." + "0" * digits
-    return F.call_function("format_number", _c(value), F.lit(pattern))
+    return F.call_function("format_number", py_round(value, digits), F.lit(pattern))
 
 
 def split_words(text) -> Column:

@@ -18,10 +18,10 @@ CHUNK_ROWS = 8192
 CHUNK = "__chunk"
 
 
-def dense_chunk(order, rows: int = CHUNK_ROWS) -> Column:
+def dense_chunk(order, rows: int | None = None) -> Column:
     """Chunk number for an order column that counts rows (frame, word index)."""
     col = F.col(order) if isinstance(order, str) else order
-    return F.floor(col / F.lit(rows)).cast("bigint")
+    return F.floor(col / F.lit(rows or CHUNK_ROWS)).cast("bigint")
 
 
 def chunked(df: DataFrame, order: str, chunk: Column | None = None) -> DataFrame:

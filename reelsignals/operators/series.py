@@ -140,7 +140,7 @@ def moving_average3(series: DataFrame, value: str, out: str, key: str = "media_i
 
 
 def look_ahead_mean(series: DataFrame, value: str, out: str, k: int, key: str = "media_id", order: str = "frame_idx",
-                    chunk_rows: int = O.CHUNK_ROWS) -> DataFrame:
+                    chunk_rows: int | None = None) -> DataFrame:
     """Centred mean over k rows to each side. Rows near a chunk border are also sent to the
     neighbouring chunk, so the window never spans a whole key."""
     d = series.withColumn("__home", O.dense_chunk(order, chunk_rows))
