@@ -97,12 +97,14 @@ def py_round(value, digits: int = 3) -> Column:
     """
     x, b = _c(value), F.lit(float(10**digits))
     p, c = x * b, x * F.lit(134217729.0)
+    near_tie = F.abs(p - F.floor(p) - 0.5) < 1e-4
     high = c - (c - x)
     error = (high * b - p) + (x - high) * b
     k = F.floor(p).cast("double")
     side = (p - k - 0.5) + error
     up = F.when(side > 0, 1.0).when(side < 0, 0.0).otherwise(F.pmod(k, F.lit(2.0)))
-    return (k + up) / b
+    # only near-ties evaluate the long form
+    return F.when(near_tie, (k + up) / b).otherwise(F.rint(p) / b)
 
 
 # --- text -----------------------------------------------------------------

@@ -41,13 +41,15 @@ def qa_checks(probes: DataFrame, logs: DataFrame, captions: DataFrame, key: str
     (key, n_words). A missing stream leaves out its checks; with ``strict`` the
     checks of a missing video stream count as failed instead.
     """
-    d = probes.join(logs, key, "left").join(captions, key, "left")
+    # computed before the joins, so that each is evaluated once per clip
+    d = probes.withColumns({"drift": av_drift(F.col("streams")), "qa_fps": ratio_fps(F.col("fps_text"))}).drop("streams")
+    d = d.join(logs, key, "left").join(captions, key, "left")
+    d = d.withColumn("black", black_fraction(F.col("black_seconds"), F.col("duration")))
     check = lambda name, ok, value: F.struct(F.lit(name).alias("name"), F.coalesce(ok, F.lit(False)).alias("passed"), value.alias("value"))
     none = F.lit(None).cast("string")
     video, audio = F.col("has_video"), F.col("has_audio")
     shown = F.lit(True) if strict else video
-    fps, drift = ratio_fps(F.col("fps_text")), av_drift(F.col("streams"))
-    black = black_fraction(F.col("black_seconds"), F.col("duration"))
+    fps, drift, black = F.col("qa_fps"), F.col("drift"), F.col("black")
     size_ok = video & (F.col("width") == 1080) & (F.col("height") == 1920)
     words = F.coalesce("n_words", F.lit(0))
     checks = F.array(

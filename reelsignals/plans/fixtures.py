@@ -10,8 +10,17 @@ from ..operators import ordered as O
 from .registry import CTES
 
 
+EXPANDING = {"documents", "conversations", "orders", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One whose rows expand into many is spread over the cores when
+    its file gives fewer splits than there are cores; a large table has enough."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in EXPANDING and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def events(spark, sf_dir, raw: DataFrame | None = None) -> DataFrame:

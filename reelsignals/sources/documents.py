@@ -162,14 +162,21 @@ def scan_tool_logs(lines: DataFrame, column: str = "line", key: str = "media_id"
     """Black time, last-seconds volume and the start-of-clip check from tool output lines."""
     c = F.col(column)
     number = r"(-?[0-9]+(?:\.[0-9]+)?)"
-    num = lambda tag: F.regexp_extract(c, rf"{tag}:\s*{number}", 1).try_cast("double")
-    black, start, db = num("black_duration"), num("black_start"), num("mean_volume")
+    num = lambda tag: F.when(F.contains(c, F.lit(tag)), F.regexp_extract(c, rf"{tag}:\s*{number}", 1).try_cast("double"))
+    parsed = lines.select(key, "line_idx", num("black_duration").alias("black"), num("black_start").alias("start"), num("mean_volume").alias("db"))
+    black, start, db = F.col("black"), F.col("start"), F.col("db")
     hookless = (start < 0.05) & (black >= 2.95)
-    return lines.groupBy(key).agg(
+    return parsed.where("black IS NOT NULL OR start IS NOT NULL OR db IS NOT NULL").groupBy(key).agg(
         F.coalesce(F.sum(black), F.lit(0.0)).alias("black_seconds"),
         F.min_by(db, F.when(db.isNotNull(), F.col("line_idx"))).alias("mean_db"),
-        F.coalesce(F.bool_or(hookless), F.lit(False)).alias("black_opening"),
-        F.array_join(F.array_sort(F.collect_set(F.when(start.isNotNull(), F.format_string("%012.3f", start)))), ",").alias("black_starts"))
+        F.coalesce(F.bool_or(hookless), F.lit(False)).alias("black_opening"))
+
+
+def black_intervals(lines: DataFrame, column: str = "line", key: str = "media_id") -> DataFrame:
+    """Black intervals named in tool output, one row each."""
+    pat = r"black_start:\s*([0-9.]+)\s+black_end:\s*([0-9.]+)"
+    part = lambda i: F.regexp_extract(column, pat, i).try_cast("double")
+    return lines.where(F.contains(column, F.lit("black_start"))).select(key, part(1).alias("b_start"), part(2).alias("b_end")).where("b_start IS NOT NULL")
 
 
 def scan_sidecars(docs: DataFrame, column: str = "info") -> DataFrame:
