@@ -5,10 +5,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import edl as E
 from ..operators import folds
 from ..operators import signals as T
 from ..operators import tracks as K
+from ..operators import transcripts as W
 from ..session import checkpoint_root
+from ..sources import sinks
 from ..streaming import progress as GP
 from ..streaming import smoothing as GS
 from ..streaming import trends as GT
@@ -94,3 +97,40 @@ def _(spark, d):
     e.union(e).write.parquet(f"{room}/twice")
     s = GT.deduplicated(GT.file_stream(spark, f"{room}/twice", e.schema, files_per_trigger=1000), late="60 days")
     return settle(spark, s).select("event_id", "user_id")
+
+
+@query("s05_event_stream_source", "SELECT event_id, user_id, event_type FROM f_ev")
+def _(spark, d):
+    return settle(spark, raw_events(spark, d).select("event_id", "user_id", "event_type"))
+
+
+@query("s06_normalized_stream_sink", """SELECT title AS query, (velocity - 0.5e0) / 0.2e0 * CASE platform WHEN 'tiktok' THEN 1.2e0 ELSE 1e0 END AS score, platform AS original_source FROM f_signals
+  WHERE (velocity - 0.5e0) / 0.2e0 * CASE platform WHEN 'tiktok' THEN 1.2e0 ELSE 1e0 END > 1.5e0""")
+def _(spark, d):
+    s = GT.super_trend_stream(X.signals(spark, d, raw_events(spark, d)))
+    return settle(spark, s.select(F.col("title").alias("query"), "score", F.col("platform").alias("original_source")))
+
+
+@query("s16_json_sink", "SELECT media_id, moment_idx, start_time, source_end, output_duration FROM f_clamped")
+def _(spark, d):
+    path = f"{_room(spark)}/edl"
+    edl = E.clamp_moments(X.moments(spark, d)).select("media_id", "moment_idx", "start_time", "source_end", "output_duration")
+    sinks.write_json(edl, path)
+    return spark.read.schema(edl.schema).json(path)
+
+
+@query("s15_caption_file_sink", """SELECT media_id AS clip, line_idx, CAST(line_idx + 1 AS VARCHAR) || ' ' || text AS line FROM f_lines3""")
+def _(spark, d):
+    path = f"{_room(spark)}/captions"
+    lines = W.fixed_groups(X.conv_words(spark, d), 3).select(
+        "media_id", "line_idx", F.concat((F.col("line_idx") + 1).cast("string"), F.lit(" "), "text").alias("line"))
+    sinks.write_caption_files(lines, path, "media_id", "line_idx", "line")
+    back = spark.read.text(path)
+    number = F.regexp_extract("value", "^([0-9]+) ", 1).cast("bigint")
+    return back.select(F.col("clip").cast("bigint").alias("clip"), (number - 1).alias("line_idx"), F.col("value").alias("line"))
+
+
+@query("t05_stalled_runs", """SELECT run_id, max(seq) AS last_seq FROM f_progress GROUP BY 1 HAVING max(ts) < (SELECT max(ts) FROM f_progress) - INTERVAL 6 HOUR
+  AND arg_max(type || '/' || stage, seq) <> 'stage_complete/Quality Assurance'""")
+def _(spark, d):
+    return GP.stalled_runs(X.progress_events(spark, d), F.expr("INTERVAL '6' HOUR"))

@@ -6,7 +6,8 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.runs import WEIGHTS
@@ -74,3 +75,12 @@ def watchdog_stream(events: DataFrame, timeout_ms: int = 5_000) -> DataFrame:
 
     return events.groupBy("run_id").applyInPandasWithState(
         step, "run_id bigint, state string, message string", "last bigint", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def stalled_runs(events: DataFrame, silence: Column) -> DataFrame:
+    """Batch twin of the watch: unfinished runs without an event for ``silence`` before the newest one."""
+    runs = events.groupBy("run_id").agg(
+        F.max("seq").alias("last_seq"), F.max("ts").alias("last_ts"), F.max_by(F.concat_ws("/", "type", "stage"), "seq").alias("at"))
+    newest = runs.agg(F.max("last_ts").alias("now"))
+    late = F.col("last_ts") < F.col("now") - silence
+    return runs.join(F.broadcast(newest), late & (F.col("at") != "stage_complete/Quality Assurance")).select("run_id", "last_seq")
