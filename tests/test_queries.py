@@ -32,3 +32,8 @@ def test_query(spark, con, name):
 def test_every_sql_has_its_query():
     assert set(registry.SQL) <= set(registry.QUERIES)
     assert set(SOME) <= set(registry.SQL)
+
+
+def test_smoothing_stream_equals_batch(spark):
+    rows = lambda n: sorted(tuple(r) for r in registry.QUERIES[n](spark, DIR).select("media_id", "track_id", "frame_idx", "cx", "cy", "w", "h").collect())
+    assert rows("t06_box_smoothing_stream") == rows("w13_dead_zone_ema")
