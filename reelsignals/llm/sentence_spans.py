@@ -36,10 +36,9 @@ class Sentences:
         w = self.words = Words(texts)
         n = len(w.hashes)
         stop = CLOSES[w.data[w.end - 1]] if n else np.zeros(0, bool)
-        lines = np.zeros(len(w.data) + 1, np.int64)
-        np.cumsum(w.data == 10, out=lines[1:])
         if n:
-            stop[:-1] |= lines[w.first[1:]] > lines[w.end[:-1]]
+            lines = np.flatnonzero(w.data == 10)
+            stop[:-1] |= np.searchsorted(lines, w.first[1:]) > np.searchsorted(lines, w.end[:-1])
         stop[w.bounds[1:][w.bounds[1:] > w.bounds[:-1]] - 1] = True
         ends = np.flatnonzero(stop) + 1
         starts = np.r_[0, ends[:-1]][: len(ends)]
