@@ -110,7 +110,12 @@ def test_linked_sets_share_a_signature(percent):
                 b = np.unique(np.r_[rng.permutation(a)[: max(0, n - gone)], rng.integers(0, 2**63, new, dtype=np.uint64)])
                 both = len(np.intersect1d(a, b))
                 if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
-                    assert np.isin(scheme.signatures(a), scheme.signatures(b)).any(), (len(a), len(b), both)
+                    x, y = scheme.signatures(a), scheme.signatures(b)
+                    tags = Counter((np.intersect1d(x, y) & ngram_join.TAG).tolist())
+                    assert tags, (len(a), len(b), both)
+                    for z in (a, b):
+                        need = scheme.needs(z)
+                        assert tags[0] or any(tags[t] >= k for t, k in zip(need[::2], need[1::2])), (len(a), len(b), both)
 
 
 def test_jaccard_blocks(spark, tmp_path, monkeypatch):
