@@ -112,8 +112,12 @@ def _chosen_pieces(rows: DataFrame, limit: int) -> tuple[list[str], int, int]:
     return sorted(r["piece"] for r in best.collect()), pos, neg
 
 
+def _packed(numbers: set[int]) -> bytes:
+    return np.array(sorted(numbers), np.int32).tobytes()
+
+
 def _training_rows(rows: DataFrame, chosen: dict, terms: list[str]) -> list:
-    """(toxic, pieces, pieces of the counterfactual copy or None) per sampled row."""
+    """(toxic, pieces, pieces of the counterfactual copy or None) per sampled row, as arrays."""
 
     def run(batches):
         cache: dict = {}
@@ -126,11 +130,13 @@ def _training_rows(rows: DataFrame, chosen: dict, terms: list[str]) -> list:
                 swapped = None
                 if named:
                     other = {t: terms[(terms.index(t) + 1 + len(words) % (len(terms) - 1)) % len(terms)] for t in named}
-                    swapped = sorted(features((words - set(named)) | set(other.values()), chosen, cache))
-                out.append((int(toxic), sorted(features(words, chosen, cache)), swapped))
+                    swapped = _packed(features((words - set(named)) | set(other.values()), chosen, cache))
+                out.append((int(toxic), _packed(features(words, chosen, cache)), swapped))
             yield pd.DataFrame(out, columns=["toxic", "x", "swapped"])
 
-    return rows.mapInPandas(run, "toxic int, x array<int>, swapped array<int>").collect()
+    found = rows.mapInPandas(run, "toxic int, x binary, swapped binary").collect()
+    load = lambda b: None if b is None else np.frombuffer(b, np.int32)
+    return [(r["toxic"], load(r["x"]), load(r["swapped"])) for r in found]
 
 
 def fit(rows: list, width: int, penalty: float, decay: float, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -139,7 +145,7 @@ def fit(rows: list, width: int, penalty: float, decay: float, steps: int = 300)
     balance = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
 
     def flat(lists):
-        return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([i for x in lists for i in x], np.int64)
+        return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([np.asarray(x, np.int32) for x in lists]) if lists else np.zeros(0, np.int32)
 
     r, c = flat([x[1] for x in rows])
     pairs = [i for i, x in enumerate(rows) if x[2] is not None]
