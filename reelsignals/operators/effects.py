@@ -19,39 +19,21 @@ def all_triggers(*parts: DataFrame) -> DataFrame:
     return union_sources(*[p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)])
 
 
-def dedupe_triggers(triggers: DataFrame, key: str = "media_id", gap: float = 0.1, array_limit: int = 5_000) -> DataFrame:
+def dedupe_triggers(triggers: DataFrame, key: str = "media_id", gap: float = 0.1) -> DataFrame:
     """Greedy dedupe of nearby triggers.
 
     A trigger more than ``gap`` after its predecessor is kept whatever came before,
-    so the fold restarts there. Short stretches fold as an array inside the engine,
-    long ones stream through the same rule row by row.
+    so the fold restarts there; each stretch streams through the rule row by row.
     """
     sec = F.floor(F.col("timestamp") / 600.0).cast("bigint")
     d = durable(triggers).withColumn("__o", F.struct("timestamp", "part", "source_idx"))
     d = O.shifted(d, [key], "__o", {"__prev": F.col("timestamp")}, chunk=sec)
     fresh = F.when(F.col("__prev").isNull() | (F.col("timestamp") - F.col("__prev") > gap), 1).otherwise(0)
     d = durable(d.withColumn("__new", fresh).drop("__prev"))
-    d = durable(O.running_sum(d, [key], "__o", F.col("__new"), "stretch", chunk=sec).drop("__new", "__o"))
-    long = d.groupBy(key, "stretch").count().where(F.col("count") > array_limit).select(key, "stretch")
-    item = F.struct("timestamp", "part", "source_idx", "effect_type", "intensity", "duration", "source")
-    short = d.join(long, [key, "stretch"], "left_anti").groupBy(key, "stretch").agg(F.array_sort(F.collect_list(item)).alias("xs"))
-
-    def take(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        put = F.concat(acc, F.array(x))
-        swap = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x))
-        return (F.when(F.size(acc) == 0, put).when(x["timestamp"] - F.get(acc, F.size(acc) - 1)["timestamp"] > gap, put)
-                .when(x["intensity"] > last["intensity"], swap).otherwise(acc))
-
-    first = F.slice("xs", 1, 1)
-    kept = F.aggregate(F.slice("xs", 2, F.greatest(F.lit(1), F.size("xs"))), first, take)
-    cols = [c.strip().split(" ")[0] for c in TRIGGER.split(",")]
-    done = short.select(key, F.explode(kept).alias("x")).select(key, *[F.col("x")[c].alias(c) for c in cols])
+    d = O.running_sum(d, [key], "__o", F.col("__new"), "stretch", chunk=sec).drop("__new", "__o")
     key_type = triggers.schema[key].dataType.simpleString()
-    streamed = folds.sorted_fold(
-        d.join(long, [key, "stretch"], "left_semi"), [key, "stretch"], ["timestamp", "part", "source_idx"],
-        lambda: folds.KeepStrongest(gap), f"{key} {key_type}, stretch bigint, {TRIGGER}").drop("stretch")
-    return done.unionByName(streamed)
+    return folds.sorted_fold(d, [key, "stretch"], ["timestamp", "part", "source_idx"], lambda: folds.KeepStrongest(gap),
+                             f"{key} {key_type}, stretch bigint, {TRIGGER}").drop("stretch")
 
 
 def trigger_frames(triggers: DataFrame, fps: float = 30.0) -> DataFrame:

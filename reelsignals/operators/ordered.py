@@ -46,7 +46,17 @@ def with_carry(
     parts = df.groupBy(*keys, CHUNK).agg(*[c.alias(n) for n, c in summary.items()])
     w = Window.partitionBy(*keys).orderBy(CHUNK)
     side = parts.select(*keys, CHUNK, *[fn(w).alias(n) for n, fn in carried.items()])
-    return df.join(side, [*keys, CHUNK])
+    return join_back(df, side, [*keys, CHUNK])
+
+
+def join_back(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` in which null equals null, so that no row is lost."""
+    names = {k: f"__side_{i}" for i, k in enumerate(keys)}
+    side = side.withColumnsRenamed(names)
+    same = F.lit(True)
+    for k, n in names.items():
+        same = same & df[k].eqNullSafe(side[n])
+    return df.join(side, same).drop(*names.values())
 
 
 def before(w):
@@ -155,7 +165,7 @@ def islands(
         (F.sum(F.col("__n") + F.col("__d")).over(wk.rowsBetween(Window.unboundedPreceding, 0))
          - F.col("__n")).alias("__off"),
     )
-    d = d.join(side, [*keys, CHUNK])
+    d = join_back(d, side, [*keys, CHUNK])
     run = F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return d.withColumn(out, F.col("__off") + run).drop(CHUNK, "__f", "__c", "__off")
 

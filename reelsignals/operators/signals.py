@@ -99,27 +99,22 @@ def rank_by_interest(stats: DataFrame, min_interest: float = 20.0) -> DataFrame:
     return stats.where(F.col("interest_7d") >= min_interest).orderBy(F.col("interest_7d").desc(), "keyword")
 
 
-def flag_breakouts(signals: DataFrame, keywords: DataFrame, max_broadcast: int = 20_000) -> DataFrame:
+KEY_LENGTH = 64
+
+
+def flag_breakouts(signals: DataFrame, keywords: DataFrame) -> DataFrame:
     """Mark signals whose title holds any breakout keyword, ignoring case.
 
-    A counted, small keyword set is broadcast. A larger one is matched without a
-    nested loop: the substrings of each distinct title, of the lengths that occur
-    among the keywords, are equi-joined with the keywords.
+    The substrings of each distinct title, up to ``KEY_LENGTH`` letters, are equi-joined with
+    the keywords' beginnings of that length; longer keywords are then compared in full.
     """
     kws = keywords.select(F.lower("keyword").alias("kw")).where(F.length("kw") > 0).distinct()
-    titles = signals.select("title").distinct()
-    if kws.limit(max_broadcast + 1).count() <= max_broadcast:
-        hits = titles.join(F.broadcast(kws), F.contains(F.lower("title"), F.col("kw")), "left_semi")
-    else:
-        lengths = sorted(r[0] for r in kws.select(F.least(F.length("kw"), F.lit(64))).distinct().collect())
-        low = F.lower("title")
-        size = F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")
-        pieces = titles.select("title", low.alias("low"), size).where(F.length("low") >= F.col("n")).select(
-            "title", "low",
-            F.explode(F.transform(F.sequence(F.lit(1), F.length("low") - F.col("n") + 1),
-                                  lambda i: F.substring(F.col("low"), i, F.col("n")))).alias("piece"))
-        hits = pieces.join(kws.withColumn("piece", F.substring("kw", 1, 64)), "piece").where(
-            F.contains("low", F.col("kw"))).select("title").distinct()
+    kws = kws.withColumn("piece", F.substring("kw", 1, KEY_LENGTH))
+    low = signals.select("title").distinct().select("title", F.lower("title").alias("low")).where(F.length("low") > 0)
+    starts = low.select("title", "low", F.explode(F.sequence(F.lit(1), F.length("low"))).alias("at"))
+    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(KEY_LENGTH), F.length("low") - F.col("at") + 1)))
+    pieces = starts.select("title", "low", "at", size.alias("n")).select("title", "low", F.substring("low", F.col("at"), F.col("n")).alias("piece"))
+    hits = pieces.join(kws, "piece").where(F.contains("low", F.col("kw"))).select("title").distinct()
     return signals.join(hits.withColumn("__hit", F.lit(True)), "title", "left").withColumn(
         "google_breakout", F.coalesce("__hit", F.lit(False))).drop("__hit")
 

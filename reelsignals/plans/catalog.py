@@ -1,13 +1,15 @@
 """Imports every query module so that the registry is filled."""
 
-import importlib
-
-MODULES = ["q_signals", "q_sourcing", "q_transcripts", "q_captions", "q_speakers", "q_series",
-           "q_tracks", "q_edit", "q_quality", "q_runs", "q_streams"]
-
-for _m in MODULES:
-    try:
-        importlib.import_module(f"{__package__}.{_m}")
-    except ModuleNotFoundError as e:
-        if e.name != f"{__package__}.{_m}":
-            raise
+from . import (  # noqa: F401
+    q_captions,
+    q_edit,
+    q_quality,
+    q_runs,
+    q_series,
+    q_signals,
+    q_sourcing,
+    q_speakers,
+    q_streams,
+    q_tracks,
+    q_transcripts,
+)

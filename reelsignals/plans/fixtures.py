@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -10,17 +10,9 @@ from ..operators import ordered as O
 from .registry import CTES
 
 
-EXPANDING = {"documents", "conversations", "orders", "pages"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. One whose rows expand into many is spread over the cores when
-    its file gives fewer splits than there are cores; a large table has enough."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in EXPANDING and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def events(spark, sf_dir, raw: DataFrame | None = None) -> DataFrame:
@@ -169,8 +161,8 @@ def detections(spark, sf_dir) -> DataFrame:
              "l_shipdate", "l_returnflag", "l_linestatus"]
     d = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("media_id"), (F.col("l_orderkey") % 300).cast("int").alias("frame_idx"),
-        F.col("l_linenumber").alias("track_id"), *order)
-    d = O.first_by(d, ["media_id", "frame_idx", "track_id"], [F.col(c) for c in order])
+        *order)
+    d = d.withColumn("track_id", F.row_number().over(Window.partitionBy("media_id", "frame_idx").orderBy(*order)))
     w = 100 + F.col("l_tax") * 2000
     x1, y1 = F.col("l_quantity") * 20, F.col("l_discount") * 5000
     pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
@@ -185,16 +177,15 @@ def detections(spark, sf_dir) -> DataFrame:
 
 
 CTES["f_det0"] = """SELECT l_suppkey AS media_id, CAST(l_orderkey % 300 AS INTEGER) AS frame_idx,
-  l_linenumber AS track_id, l_quantity * 20 AS x1, l_discount * 5000 AS y1, 100 + l_tax * 2000 AS w0,
-  l_returnflag AS rf, l_linestatus AS ls, l_tax,
-  row_number() OVER (PARTITION BY l_suppkey, l_orderkey % 300, l_linenumber ORDER BY l_orderkey, l_partkey,
-    l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS rn FROM lineitem"""
+  row_number() OVER (PARTITION BY l_suppkey, l_orderkey % 300 ORDER BY l_orderkey, l_partkey,
+    l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS track_id, l_quantity * 20 AS x1, l_discount * 5000 AS y1, 100 + l_tax * 2000 AS w0,
+  l_returnflag AS rf, l_linestatus AS ls, l_tax FROM lineitem"""
 CTES["f_dets"] = """SELECT media_id, frame_idx, track_id, x1, y1, x1 + w0 AS x2, y1 + w0 * 1.2e0 AS y2,
   0.3e0 + l_tax * 8 AS conf,
   CASE WHEN rf IN ('A', 'R') THEN x1 + w0 * 0.5e0 END AS nose_x, CASE WHEN rf IN ('A', 'R') THEN y1 + w0 * 0.3e0 END AS nose_y,
   CASE WHEN rf = 'A' THEN x1 + w0 * 0.35e0 END AS leye_x, CASE WHEN rf = 'A' THEN y1 + w0 * 0.25e0 END AS leye_y,
   CASE WHEN rf = 'A' THEN x1 + w0 * 0.65e0 END AS reye_x, CASE WHEN rf = 'A' THEN y1 + w0 * 0.25e0 END AS reye_y,
-  CASE WHEN ls = 'O' THEN 'person' ELSE 'face' END AS label FROM f_det0 WHERE rn = 1"""
+  CASE WHEN ls = 'O' THEN 'person' ELSE 'face' END AS label FROM f_det0"""
 
 
 def candidates(spark, sf_dir) -> DataFrame:

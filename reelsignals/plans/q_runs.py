@@ -35,6 +35,9 @@ def _(spark, d):
     return p.withColumn("overall_pct", F.round("overall_pct", 6))
 
 
+# Limits that are the feature: log lines kept and shown of a run, errors kept.
+LOG_KEPT, LOG_SHOWN, ERRORS_KEPT = 1000, 100, 100
+
 CTES["f_loglines"] = """SELECT run_id, seq, CASE type WHEN 'stage_start' THEN '[STAGE] ' || stage WHEN 'step' THEN '  [' || "current" || '/100] (' || "current" || '%) s' WHEN 'stage_complete' THEN '  ✅ ' || stage || ' complete'
   ELSE '  ❌ Error in ' || stage || ': e' END AS line, type, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS age FROM f_progress"""
 
@@ -43,14 +46,19 @@ def lines(spark, d):
     return N.log_lines(X.progress_events(spark, d).withColumns({"step": F.lit("s"), "error": F.lit("e")}))
 
 
-@query("k06_last_log_lines", "SELECT run_id, seq, line FROM f_loglines WHERE age <= 20")
+@query("k06_last_log_lines", "SELECT run_id, seq, line FROM f_loglines WHERE age <= 1000")
+def _(spark, d):
+    return N.last_entries(lines(spark, d), LOG_KEPT).select("run_id", "seq", "line")
+
+
+@query("k06_snapshot_log_lines", "SELECT run_id, seq, line FROM f_loglines WHERE age <= 100")
 def _(spark, d):
-    return N.last_entries(lines(spark, d), 20).select("run_id", "seq", "line")
+    return N.last_entries(lines(spark, d), LOG_SHOWN).select("run_id", "seq", "line")
 
 
-@query("k06_last_errors", "SELECT run_id, seq, line FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS r FROM f_loglines WHERE type = 'error') WHERE r <= 5")
+@query("k06_last_errors", "SELECT run_id, seq, line FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS r FROM f_loglines WHERE type = 'error') WHERE r <= 100")
 def _(spark, d):
-    return N.last_entries(lines(spark, d).where(F.col("type") == "error"), 5).select("run_id", "seq", "line")
+    return N.last_entries(lines(spark, d).where(F.col("type") == "error"), ERRORS_KEPT).select("run_id", "seq", "line")
 
 
 @query("s13_file_inventory", """SELECT path, dir AS directory, regexp_extract(path, '([^/]+)$', 1) AS name, CAST(printf('%.1f', length / 1048576e0) AS DOUBLE) AS size_mb FROM f_files WHERE ext IN ('mp4', 'mkv', 'mov')""")

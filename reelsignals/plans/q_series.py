@@ -121,11 +121,11 @@ CTES["f_btrig"] = f"""SELECT media_id, "time" AS "timestamp", 'emphasize' AS eff
 CTES["f_alltrig"] = """SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY "timestamp", part, source_idx) AS r FROM (SELECT *, 0 AS part FROM f_ptrig UNION ALL SELECT *, 1 FROM f_otrig UNION ALL SELECT *, 2 FROM f_btrig)"""
 
 
-def triggers(spark, d, array_limit=5000):
+def triggers(spark, d):
     s = durable(X.series(spark, d))
     lim = durable(R.thresholds(s))
     allt = X2.all_triggers(R.peak_triggers(R.hysteresis_peaks(s, lim, HOP)), R.onset_triggers(s, lim, HOP), R.beat_triggers(series_beats(spark, d)))
-    return X2.dedupe_triggers(allt, array_limit=array_limit)
+    return X2.dedupe_triggers(allt)
 
 
 # rows 'keep' the trigger that stands when a later one is appended
@@ -146,7 +146,7 @@ def _(spark, d):
 
 @query("w07_trigger_dedupe_streamed", _W07)
 def _(spark, d):
-    return triggers(spark, d, array_limit=0).select("media_id", "timestamp", "effect_type", R6("intensity").alias("intensity"), "duration")
+    return triggers(spark, d).select("media_id", "timestamp", "effect_type", R6("intensity").alias("intensity"), "duration")
 
 
 @query("a11_effect_plan", """SELECT media_id, average_energy, coalesce(zoom, 0) AS zoom, coalesce(shake, 0) AS shake FROM (SELECT media_id, round(avg(rms), 6) AS average_energy FROM f_series GROUP BY 1)

@@ -46,15 +46,29 @@ def _(spark, d):
 
 
 @query("k01_trend_ranking", """SELECT arrival_idx, title, platform, round(score, 6) AS score FROM (
-  SELECT *, (velocity - 0.5e0) / 0.2e0 * CASE platform WHEN 'tiktok' THEN 1.2e0 ELSE 1e0 END AS score,
-    row_number() OVER (PARTITION BY substr(lower(title), 1, 30) ORDER BY arrival_idx) AS rn FROM f_signals)
-  WHERE rn = 1 ORDER BY score DESC, arrival_idx""")
+  SELECT *, (velocity - 0.5e0) / 0.2e0 * CASE platform WHEN 'tiktok' THEN 1.2e0 ELSE 1e0 END AS score FROM f_signals)
+  ORDER BY score DESC, arrival_idx""")
 def _(spark, d):
-    s = T.first_seen(X.signals(spark, d), T.similar_title())
-    return T.rank_desc(T.platform_weighted_score(s), "score", "arrival_idx").select(
+    return T.rank_desc(T.platform_weighted_score(X.signals(spark, d)), "score", "arrival_idx").select(
         "arrival_idx", "title", "platform", R6("score").alias("score"))
 
 
+@query("k01_by_velocity", "SELECT arrival_idx, title, velocity FROM f_signals ORDER BY velocity DESC, arrival_idx")
+def _(spark, d):
+    return T.rank_desc(X.signals(spark, d), "velocity", "arrival_idx").select("arrival_idx", "title", "velocity")
+
+
+@query("k01_by_virality", f"SELECT poll_id, video_id, round({_VIRAL}, 6) AS virality FROM f_polls_s ORDER BY 3 DESC, poll_id")
+def _(spark, d):
+    p = polls_scored(spark, d).withColumn("virality", R6("virality"))
+    return T.rank_desc(p, "virality", "poll_id").select("poll_id", "video_id", "virality")
+
+
+@query("k01_by_views", "SELECT poll_id, video_id, view_count FROM f_polls_s ORDER BY view_count DESC, poll_id")
+def _(spark, d):
+    return T.rank_desc(polls_scored(spark, d), "view_count", "poll_id").select("poll_id", "video_id", "view_count")
+
+
 @query("u03_similar_title_dedupe", """SELECT arrival_idx, title, platform FROM (SELECT *,
   row_number() OVER (PARTITION BY substr(lower(title), 1, 30) ORDER BY arrival_idx) AS rn FROM f_signals) WHERE rn = 1""")
 def _(spark, d):
@@ -225,7 +239,7 @@ def _(spark, d):
 
 @query("j03_breakout_flag_many_keywords", """SELECT arrival_idx, title, EXISTS (SELECT 1 FROM f_breakout_kw WHERE contains(lower(title), lower(keyword))) AS google_breakout FROM f_signals""")
 def _(spark, d):
-    return T.flag_breakouts(X.signals(spark, d), _breakout_keywords(spark, d), max_broadcast=0).select(
+    return T.flag_breakouts(X.signals(spark, d), _breakout_keywords(spark, d)).select(
         "arrival_idx", "title", "google_breakout")
 
 

@@ -121,3 +121,10 @@ def test_overlap_join_gives_each_pair_once(spark):
     d = I.overlap_join(l, r, ["m"], (F.col("s"), F.col("e")), (F.col("s2"), F.col("e2")), (F.col("s") <= F.col("e2")) & (F.col("e") >= F.col("s2")), 7.0)
     got = sorted((x.i, x.j) for x in d.collect())
     assert got == sorted((x[1], y[1]) for x in a for y in b if x[2] <= y[3] and x[3] >= y[2])
+
+
+def test_rows_with_null_keys_stay(spark):
+    rows = [(None, 1, 2.0), (None, 2, 3.0), (1, 1, 5.0), (1, None, 7.0)]
+    d = spark.createDataFrame(rows, "k int, o int, v double")
+    got = O.running_sum(d, ["k"], "o", F.col("v"), "s", chunk=O.dense_chunk("o", 1))
+    assert sorted((r.k or 0, r.o or 0, r.s) for r in got.collect()) == [(0, 1, 2.0), (0, 2, 5.0), (1, 0, 7.0), (1, 1, 12.0)]
