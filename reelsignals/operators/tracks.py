@@ -117,7 +117,8 @@ def smooth_boxes(points: DataFrame, frame_w: int = 1920, frame_h: int = 1080, **
 
 
 def smooth_centres(points: DataFrame, kalman: bool = False, fps: float = 30.0) -> DataFrame:
-    make = (lambda: folds.CentreKalman(fps)) if kalman else folds.PlainEma
+    gains = folds.CentreKalman.gain_list(fps) if kalman else []
+    make = (lambda: folds.CentreKalman(gains)) if kalman else folds.PlainEma
     return folds.sorted_fold(points.select(*KEYS, "frame_idx", "x1", "y1", "x2", "y2"), KEYS, ["frame_idx"], make,
                              "media_id bigint, track_id int, frame_idx int, x int, y int")
 
@@ -128,33 +129,66 @@ def dead_band(frames: DataFrame, frame_w: int = 1920, frame_h: int = 1080, pct:
                              lambda: folds.DeadBand(frame_w, frame_h, pct), "media_id bigint, frame_idx int, x int, y int")
 
 
+CAMERA_KEYS = ["media_id", "scene"]
+CAMERA_ROWS = "media_id bigint, scene bigint, frame_idx int, crop_w int, crop_h int, smooth_cx double, smooth_cy double, smooth_zoom double"
+
+
+def camera_filter() -> folds.OneEuro:
+    return folds.OneEuro(["target_cx", "target_cy", "zoom"], carry=["crop_w", "crop_h"])
+
+
+def camera_signals(frames: DataFrame, src_w: int = 1920) -> DataFrame:
+    """Frames with their scene number and the zoom that their crop width means."""
+    d = O.running_sum(frames, ["media_id"], "frame_idx", F.col("is_cut").cast("int"), "scene")
+    zoom = F.lit(float(src_w)) / F.greatest(F.lit(1), F.col("crop_w"))
+    return d.select(*CAMERA_KEYS, "frame_idx", "target_cx", "target_cy", "crop_w", "crop_h", zoom.alias("zoom"))
+
+
+def crop_windows(smooth: DataFrame, src_w: int = 1920, src_h: int = 1080) -> DataFrame:
+    """Crop of each frame around the smoothed centre, kept inside the picture; the height
+    shrinks with the width (and stays where the given width is 0)."""
+    wide = (F.lit(src_w) / F.greatest(F.lit(1.0), F.col("smooth_zoom"))).cast("int")
+    d = smooth.withColumn("out_w", wide)
+    scale = F.when(F.col("crop_w") > 0, F.col("out_w") / F.col("crop_w")).otherwise(1.0)
+    d = d.withColumn("tall", (F.col("crop_h") * scale).cast("int")).withColumn("out_h", F.least(F.col("tall"), F.lit(src_h)))
+    x = clamp_window((F.col("smooth_cx") - F.col("out_w") / 2).cast("int"), F.col("out_w"), F.lit(src_w))
+    y = clamp_window((F.col("smooth_cy") - F.col("tall") / 2).cast("int"), F.col("out_h"), F.lit(src_h))
+    return d.select(*CAMERA_KEYS, "frame_idx", x.alias("crop_x"), y.alias("crop_y"), "out_w", "out_h")
+
+
 def camera_path(frames: DataFrame, src_w: int = 1920, src_h: int = 1080) -> DataFrame:
-    """Smoothed crop per frame. The filters restart at each cut, so scenes fold in parallel.
+    """Smoothed crop per frame. Only the three smoothed values are folded, and the filters
+    restart at each cut, so scenes fold in parallel.
 
     ``frames``: media_id, frame_idx, target_cx, target_cy, crop_w, crop_h, is_cut.
     """
-    d = O.running_sum(frames, ["media_id"], "frame_idx", F.col("is_cut").cast("int"), "scene")
-    return folds.sorted_fold(
-        d.select("media_id", "scene", "frame_idx", "target_cx", "target_cy", "crop_w", "crop_h", "is_cut"), ["media_id", "scene"], ["frame_idx"],
-        lambda: folds.OneEuroCamera(src_w, src_h),
-        "media_id bigint, scene bigint, frame_idx int, crop_x int, crop_y int, out_w int, out_h int")
+    smooth = folds.sorted_fold(camera_signals(frames, src_w), CAMERA_KEYS, ["frame_idx"], camera_filter, CAMERA_ROWS)
+    return crop_windows(smooth, src_w, src_h)
+
+
+def boxes_by_frame(detections: DataFrame, lengths: DataFrame, frame_w: int = 1920, frame_h: int = 1080) -> DataFrame:
+    """Every frame of every media item of ``lengths`` (media_id, n_frames) with its boxes'
+    track ids and scores, by track; empty lists where there is no box."""
+    item = F.struct("track_id", target_score(frame_w, frame_h).alias("score"))
+    boxes = detections.groupBy("media_id", "frame_idx").agg(F.array_sort(F.collect_list(item)).alias("b"))
+    d = frame_spine(lengths).join(boxes, ["media_id", "frame_idx"], "left")
+    part = lambda n, kind: F.coalesce(F.transform("b", lambda x: x[n]), F.array().cast(f"array<{kind}>"))
+    return d.select("media_id", "frame_idx", part("track_id", "bigint").alias("ids"), part("score", "double").alias("scores"))
 
 
 def target_lock(detections: DataFrame, lengths: DataFrame, fps: float = 30.0, hysteresis: float = 3.0, hold: float = 2.0,
                 frame_w: int = 1920, frame_h: int = 1080) -> DataFrame:
-    """Followed track per frame.
+    """Followed track per frame, for media items without any box as well.
 
     After ``hold`` seconds without boxes nothing is remembered, so the frames are
-    split at such gaps and the stretches fold in parallel. ``lengths`` has
-    (media_id, n_frames).
+    split at such gaps and the stretches fold in parallel.
     """
-    item = F.struct("track_id", target_score(frame_w, frame_h).alias("score"))
-    d = detections.groupBy("media_id", "frame_idx").agg(F.array_sort(F.collect_list(item)).alias("b"))
-    d = d.select("media_id", "frame_idx", F.transform("b", lambda x: x["track_id"]).alias("ids"), F.transform("b", lambda x: x["score"]).alias("scores"))
-    d = O.shifted(d, ["media_id"], "frame_idx", {"prev_frame": F.col("frame_idx")})
-    d = O.shifted(d, ["media_id"], "frame_idx", {"next_frame": F.col("frame_idx")}, forward=True)
-    d = d.join(lengths, "media_id").withColumn("next_frame", F.coalesce("next_frame", "n_frames")).drop("n_frames")
-    gap = F.col("frame_idx") - F.col("prev_frame") - 1 >= int(hold * fps)
-    d = O.running_sum(d, ["media_id"], "frame_idx", F.when(gap, 1).otherwise(0), "stretch")
-    return folds.sorted_fold(d, ["media_id", "stretch"], ["frame_idx"], lambda: folds.TargetLock(fps, hysteresis, hold),
+    d = boxes_by_frame(detections, lengths, frame_w, frame_h)
+    seen = F.when(F.size("ids") > 0, F.col("frame_idx"))
+    d = O.last_known(d, ["media_id"], "frame_idx", seen, "seen")
+    # a long gap ends in the frame whose boxes follow it; from the last frame of the wait on nothing is held
+    rest = F.col("frame_idx") - F.coalesce("seen", F.lit(-1)) == max(2, int(hold * fps)) + 1
+    d = O.running_sum(d, ["media_id"], "frame_idx", rest.cast("int"), "stretch")
+    return folds.sorted_fold(d.select("media_id", "stretch", "frame_idx", "ids", "scores"), ["media_id", "stretch"], ["frame_idx"],
+                             lambda: folds.TargetLock(fps, hysteresis, hold),
                              "media_id bigint, stretch bigint, frame_idx int, state string, target int").drop("stretch")

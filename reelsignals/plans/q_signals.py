@@ -263,8 +263,11 @@ def _(spark, d):
     return T.super_trends(X.signals(spark, d)).select("arrival_idx", "title", "platform", "score")
 
 
-@query("t02_hourly_platform_stats", """SELECT platform, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour_start, count(*) AS n, round(avg(velocity), 6) AS mean,
-  round(stddev_pop(velocity), 6) AS std FROM f_signals GROUP BY 1, 2""")
+_HOURLY = """SELECT platform, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour_start, count(*) AS n, round(avg(velocity), 6) AS mean,
+  round(stddev_pop(velocity), 6) AS std FROM f_signals GROUP BY 1, 2"""
+
+
+@query("t02_hourly_platform_stats", _HOURLY)
 def _(spark, d):
     s = T.hourly_platform_stats(X.signals(spark, d))
     return s.select("platform", F.floor(S.ntz_micros(F.col("window.start")) / 1_000_000).alias("hour_start"), "n",

@@ -17,8 +17,8 @@ from ..streaming import smoothing as GS
 from ..streaming import trends as GT
 from . import fixtures as X
 from .q_runs import _PROGRESS
-from .q_signals import _SUPER
-from .q_tracks import points
+from .q_signals import _HOURLY, _SUPER
+from .q_tracks import BAND, BOX_EMA, CAMERA, LOCK, LOCK_FPS, camera_frames, lock_lengths, main_points, points, spine
 from .registry import query
 
 
@@ -55,13 +55,30 @@ def _(spark, d):
     return settle(spark, s.select("arrival_idx", "title", "platform", "score"))
 
 
-@query("t02_running_scores_stream", "SELECT arrival_idx, 0e0 AS z FROM f_signals")
+T02_PARTS = 4
+
+
+@query("t02_running_scores_stream", """SELECT s.arrival_idx, coalesce(round(CASE WHEN p.std > 0 THEN (s.velocity - p.mean) / p.std END, 6), 0e0) AS z FROM f_signals s
+  LEFT JOIN (SELECT b.part, platform, avg(velocity) AS mean, stddev_pop(velocity) AS std FROM f_signals, (VALUES (1), (2), (3)) AS b(part) WHERE arrival_idx % 4 < b.part GROUP BY 1, 2) p
+  ON p.part = s.arrival_idx % 4 AND p.platform = s.platform""")
 def _(spark, d):
-    # the table is one file, so the whole stream is the first micro-batch and no earlier one exists
+    # the signals arrive in four parts; the stream is stopped and resumed between them
     room = _room(spark)
-    s = X.signals(spark, d, raw_events(spark, d)).select("arrival_idx", "platform", "velocity")
-    GT.running_scores(spark, s, f"{room}/out", f"{room}/state", f"{room}/ckpt").awaitTermination()
-    return spark.read.parquet(f"{room}/out").select("arrival_idx", "z")
+    s = X.signals(spark, d).select("arrival_idx", "platform", "velocity")
+    for part in range(T02_PARTS):
+        s.where(F.col("arrival_idx") % T02_PARTS == part).write.mode("append").parquet(f"{room}/in")
+        stream = GT.file_stream(spark, f"{room}/in", s.schema, files_per_trigger=1_000_000)
+        GT.running_scores(spark, stream, f"{room}/out", f"{room}/state", f"{room}/ckpt").awaitTermination()
+    return spark.read.parquet(f"{room}/out").select("arrival_idx", F.round("z", 6).alias("z"))
+
+
+@query("t02_hourly_stats_stream", _HOURLY)
+def _(spark, d):
+    s = X.signals(spark, d, raw_events(spark, d))
+    s = GT.hourly_stats_stream(s.withColumn("ts", F.col("ts").cast("timestamp")))
+    start = F.floor(S.ntz_micros(F.col("window.start").cast("timestamp_ntz")) / 1_000_000)
+    stats = settle(spark, s.select("platform", start.alias("hour_start"), "n", "mean", "std"), "update", ["platform", "hour_start"])
+    return stats.select("platform", "hour_start", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @query("t03_acceleration_stream", "SELECT poll_id, video_id, round(accel, 6) AS acceleration FROM f_polls_s")
@@ -80,14 +97,35 @@ def _(spark, d):
     return settle(spark, GP.rollup_stream(e), "update", ["run_id"]).withColumn("overall_pct", F.round("overall_pct", 6))
 
 
-@query("t06_box_smoothing_stream")
-def _(spark, d):
+def fold_files(spark, rows, keys, make, schema):
+    """Write ``rows`` as files, then fold them as a stream."""
     room = _room(spark)
+    rows.write.parquet(f"{room}/rows")
+    return settle(spark, GS.fold_stream(GT.file_stream(spark, f"{room}/rows", rows.schema, files_per_trigger=1000), keys, "frame_idx", make, schema))
+
+
+@query("t06_box_smoothing_stream", BOX_EMA)
+def _(spark, d):
     p = points(spark, d).select("media_id", "track_id", "frame_idx", "cx", "cy", "w", "h")
-    p.write.parquet(f"{room}/points")
-    s = GS.fold_stream(GT.file_stream(spark, f"{room}/points", p.schema, files_per_trigger=1000), K.KEYS, "frame_idx", lambda: folds.DeadZoneEma(1920, 1080),
-                       "media_id bigint, track_id int, frame_idx int, cx int, cy int, w int, h int")
-    return settle(spark, s)
+    return fold_files(spark, p, K.KEYS, lambda: folds.DeadZoneEma(1920, 1080), "media_id bigint, track_id int, frame_idx int, cx int, cy int, w int, h int")
+
+
+@query("t06_target_lock_stream", LOCK)
+def _(spark, d):
+    frames = K.boxes_by_frame(X.detections(spark, d), lock_lengths(spark, d))
+    return fold_files(spark, frames, ["media_id"], lambda: folds.TargetLock(LOCK_FPS), "media_id bigint, frame_idx int, state string, target int")
+
+
+@query("t06_dead_band_stream", BAND)
+def _(spark, d):
+    return fold_files(spark, K.look_ahead_start(spine(spark, d), main_points(spark, d)).select("media_id", "frame_idx", "target_cx", "target_cy", "init_x", "init_y"),
+                      ["media_id"], lambda: folds.DeadBand(1920, 1080), "media_id bigint, frame_idx int, x int, y int")
+
+
+@query("t06_camera_stream", CAMERA)
+def _(spark, d):
+    smooth = fold_files(spark, K.camera_signals(camera_frames(spark, d)), K.CAMERA_KEYS, K.camera_filter, K.CAMERA_ROWS)
+    return K.crop_windows(smooth).select("media_id", "frame_idx", "crop_x", "crop_y", "out_w", "out_h")
 
 
 @query("t07_deduplicated_stream", "SELECT event_id, user_id FROM f_ev")

@@ -143,42 +143,137 @@ def _(spark, d):
     return a.select("media_id", "seg_idx", "speaker_id", F.round("confidence", 4).alias("confidence"))
 
 
-@query("w13_dead_zone_ema")
+def _spring(axis: str) -> str:
+    d = f"p.c{axis} - s{axis}"
+    return f"s{axis} + 0.25e0 * greatest(-(0.07e0 * 1920), least(0.07e0 * 1920, CASE WHEN abs({d}) < 0.02e0 * 1920 THEN 0e0 ELSE {d} END))"
+
+
+BOX_EMA = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT media_id, track_id, frame_idx, cx, cy, w, h, row_number() OVER (PARTITION BY media_id, track_id ORDER BY frame_idx) AS n FROM f_geo),
+  s AS (SELECT media_id, track_id, frame_idx, n, CAST(cx AS DOUBLE) AS sx, CAST(cy AS DOUBLE) AS sy, CAST(w AS DOUBLE) AS sw, CAST(h AS DOUBLE) AS sh FROM p WHERE n = 1
+  UNION ALL SELECT p.media_id, p.track_id, p.frame_idx, p.n, {_spring("x")}, {_spring("y")}, 0.25e0 * p.w + 0.75e0 * (sw + 0.25e0 * (p.w - sw)), 0.25e0 * p.h + 0.75e0 * (sh + 0.25e0 * (p.h - sh))
+  FROM s JOIN p ON p.media_id = s.media_id AND p.track_id = s.track_id AND p.n = s.n + 1)
+  SELECT media_id, CAST(track_id AS INTEGER) AS track_id, frame_idx, CAST(trunc(sx) AS INTEGER) AS cx, CAST(trunc(sy) AS INTEGER) AS cy, CAST(trunc(sw) AS INTEGER) AS w, CAST(trunc(sh) AS INTEGER) AS h FROM s"""
+
+
+@query("w13_dead_zone_ema", BOX_EMA)
 def _(spark, d):
     return K.smooth_boxes(points(spark, d))
 
 
-@query("w15_centre_ema")
+CTES["f_centres"] = "SELECT media_id, track_id, frame_idx, (x1 + x2) / 2 AS px, (y1 + y2) / 2 AS py, row_number() OVER (PARTITION BY media_id, track_id ORDER BY frame_idx) AS n FROM f_geo"
+
+
+@query("w15_centre_ema", """WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM f_centres), s AS (SELECT media_id, track_id, frame_idx, n, px AS sx, py AS sy FROM p WHERE n = 1
+  UNION ALL SELECT p.media_id, p.track_id, p.frame_idx, p.n, 0.15e0 * px + (1 - 0.15e0) * sx, 0.15e0 * py + (1 - 0.15e0) * sy FROM s JOIN p ON p.media_id = s.media_id AND p.track_id = s.track_id AND p.n = s.n + 1)
+  SELECT media_id, CAST(track_id AS INTEGER) AS track_id, frame_idx, CAST(trunc(sx) AS INTEGER) AS x, CAST(trunc(sy) AS INTEGER) AS y FROM s""")
 def _(spark, d):
     return K.smooth_centres(points(spark, d))
 
 
-@query("w15_centre_kalman")
+def _kalman_sql() -> str:
+    """Covariance by step number (it needs no data), gains k_row_column from it, then the states."""
+    pair = lambda r, c: f"{min(r, c)}{max(r, c)}"
+    pairs = [(r, c) for r in range(4) for c in range(r, 4)]
+    noise = ["pow(1e0 / 30, 3) / 6", "pow(1e0 / 30, 2) / 2", "1e0 / 30", "1e0"]
+    moved = lambda i: [i, i + 1] if i % 2 == 0 else [i]
+    ahead = ", ".join(f"{' + '.join(f'p{pair(i, j)}' for i in moved(r) for j in moved(c))} + 0.1e0 * ({noise[r]}) * ({noise[c]}) AS n{pair(r, c)}" for r, c in pairs)
+    gain = ", ".join(f"(n{pair(r, 0)} * a{t} + n{pair(r, 2)} * b{t}) / det AS k{r}{t}" for r in range(4) for t in range(2))
+    after = ", ".join(f"n{pair(r, c)} - k{r}0 * n{pair(0, c)} - k{r}1 * n{pair(2, c)} AS p{pair(r, c)}" for r, c in pairs)
+    gains = ", ".join(f"k{r}{t}" for r in range(4) for t in range(2))
+    step = lambda old: (f"SELECT n, {gains}, {after} FROM (SELECT *, {gain} FROM (SELECT *, n22 + 10 AS a0, -n02 AS b0, -n02 AS a1, n00 + 10 AS b1, (n00 + 10) * (n22 + 10) - n02 * n02 AS det "
+                        f"FROM (SELECT n + 1 AS n, {ahead} FROM {old})))")
+    start = ", ".join(f"{1000 if r == c else 0}e0 AS p{pair(r, c)}" for r, c in pairs)
+    state = ", ".join(f"m{r} + k{r}0 * (px - m0) + k{r}1 * (py - m2) AS x{r}" for r in range(4))
+    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM f_centres), gains AS ({step(f"(SELECT 0 AS n, {start})")} UNION ALL {step("gains WHERE n < (SELECT max(n) FROM p)")}),
+  g AS MATERIALIZED (SELECT n, {gains} FROM gains), s AS (SELECT media_id, track_id, -1 AS frame_idx, CAST(0 AS BIGINT) AS n, 0e0 AS x0, 0e0 AS x1, 0e0 AS x2, 0e0 AS x3 FROM p WHERE n = 1
+  UNION ALL SELECT media_id, track_id, frame_idx, n, {state} FROM (SELECT p.*, g.* EXCLUDE (n), x0 + x1 AS m0, x1 AS m1, x2 + x3 AS m2, x3 AS m3 FROM s JOIN p ON p.media_id = s.media_id AND p.track_id = s.track_id AND p.n = s.n + 1 JOIN g ON g.n = p.n))
+  SELECT media_id, CAST(track_id AS INTEGER) AS track_id, CAST(frame_idx AS INTEGER) AS frame_idx, CAST(trunc(x0) AS INTEGER) AS x, CAST(trunc(x2) AS INTEGER) AS y FROM s WHERE n > 0"""
+
+
+@query("w15_centre_kalman", _kalman_sql())
 def _(spark, d):
     return K.smooth_centres(points(spark, d), kalman=True)
 
 
-@query("w17_dead_band", """WITH RECURSIVE fr AS (SELECT s.media_id, s.frame_idx, target_cx, target_cy, coalesce(fx, 960) AS ix, coalesce(fy, 540) AS iy FROM f_spine s LEFT JOIN f_main m ON s.media_id = m.media_id AND s.frame_idx = m.frame_idx
+CTES["f_band"] = """WITH RECURSIVE fr AS (SELECT s.media_id, s.frame_idx, target_cx, target_cy, coalesce(fx, 960) AS ix, coalesce(fy, 540) AS iy FROM f_spine s LEFT JOIN f_main m ON s.media_id = m.media_id AND s.frame_idx = m.frame_idx
   LEFT JOIN (SELECT media_id, arg_min(target_cx, frame_idx) AS fx, arg_min(target_cy, frame_idx) AS fy FROM f_main WHERE target_cx BETWEEN -1000 AND 2920 GROUP BY 1) f ON s.media_id = f.media_id),
   walk AS (SELECT media_id, -1 AS frame_idx, ix AS x, iy AS y FROM fr WHERE frame_idx = 0
   UNION ALL SELECT f.media_id, f.frame_idx, CASE WHEN abs(target_cx - x) >= 96 OR abs(target_cy - y) >= 54 THEN target_cx ELSE x END, CASE WHEN abs(target_cx - x) >= 96 OR abs(target_cy - y) >= 54 THEN target_cy ELSE y END
-  FROM walk w JOIN fr f ON f.media_id = w.media_id AND f.frame_idx = w.frame_idx + 1) SELECT media_id, frame_idx, x, y FROM walk WHERE frame_idx >= 0""")
+  FROM walk w JOIN fr f ON f.media_id = w.media_id AND f.frame_idx = w.frame_idx + 1) SELECT media_id, frame_idx, x, y FROM walk WHERE frame_idx >= 0"""
+BAND = "SELECT media_id, frame_idx, x, y FROM f_band"
+
+
+@query("w17_dead_band", BAND)
 def _(spark, d):
     return K.dead_band(K.look_ahead_start(spine(spark, d), main_points(spark, d)))
 
 
-@query("w14_camera_path")
-def _(spark, d):
+def camera_frames(spark, d):
     p = durable(main_points(spark, d))
     held = K.dead_band(K.look_ahead_start(spine(spark, d), p)).withColumnsRenamed({"x": "target_cx", "y": "target_cy"})
-    # the picture cuts where the detector was most certain
+    # the picture cuts where the detector was most certain; the crop narrows in steps
     cut = p.select("media_id", "frame_idx", (F.col("conf") > 0.9).alias("is_cut"))
-    f = held.join(cut, ["media_id", "frame_idx"], "left").withColumns({
-        "is_cut": F.coalesce("is_cut", F.lit(False)), "crop_w": F.lit(607), "crop_h": F.lit(1080)})
-    return K.camera_path(durable(f)).select("media_id", "frame_idx", "crop_x", "crop_y", "out_w", "out_h")
+    return held.join(cut, ["media_id", "frame_idx"], "left").withColumns({
+        "is_cut": F.coalesce("is_cut", F.lit(False)), "crop_w": (607 - F.col("frame_idx") % 4 * 30).cast("int"), "crop_h": F.lit(1080)})
+
+
+def _camera_sql() -> str:
+    pull = lambda cutoff: f"((2 * pi() * ({cutoff}) / 30e0) / (2 * pi() * ({cutoff}) / 30e0 + 1))"
+    names = ["cx", "cy", "zoom"]
+    slope = ", ".join(f"CASE WHEN f.n = 2 THEN s_{c} ELSE s_{c} + {pull('1.0e0')} * ((f.{c} - v_{c}) * 30e0 - s_{c}) END AS t_{c}" for c in names)
+    value = ", ".join(f"CASE WHEN n = 2 THEN v_{c} ELSE v_{c} + {pull(f'0.005e0 + 0.002e0 * abs(t_{c})')} * ({c} - v_{c}) END AS v_{c}" for c in names)
+    first = ", ".join(f"{c} AS v_{c}, 0e0 AS s_{c}" for c in names)
+    return f"""WITH RECURSIVE cuts AS (SELECT b.*, 607 - b.frame_idx % 4 * 30 AS crop_w, sum(CASE WHEN conf > 0.9e0 THEN 1 ELSE 0 END) OVER (PARTITION BY b.media_id ORDER BY b.frame_idx) AS scene
+    FROM f_band b LEFT JOIN f_main m ON m.media_id = b.media_id AND m.frame_idx = b.frame_idx),
+  fr AS MATERIALIZED (SELECT media_id, scene, frame_idx, crop_w, CAST(x AS DOUBLE) AS cx, CAST(y AS DOUBLE) AS cy, 1920e0 / crop_w AS zoom, row_number() OVER (PARTITION BY media_id, scene ORDER BY frame_idx) AS n FROM cuts),
+  walk AS (SELECT *, {first} FROM fr WHERE n = 1
+  UNION ALL SELECT media_id, scene, frame_idx, crop_w, cx, cy, zoom, n, {value.replace(", CASE", ", t_cx AS s_cx, CASE", 1).replace(", CASE WHEN n = 2 THEN v_zoom", ", t_cy AS s_cy, CASE WHEN n = 2 THEN v_zoom", 1)}, t_zoom AS s_zoom FROM (SELECT f.*, {", ".join(f"v_{c}" for c in names)}, {slope} FROM walk w JOIN fr f ON f.media_id = w.media_id AND f.scene = w.scene AND f.n = w.n + 1)),
+  sized AS (SELECT *, CAST(trunc(1920 / greatest(1e0, CASE WHEN n = 2 THEN zoom ELSE v_zoom END)) AS INTEGER) AS out_w, CASE WHEN n = 2 THEN cx ELSE v_cx END AS ox, CASE WHEN n = 2 THEN cy ELSE v_cy END AS oy FROM walk),
+  tall AS (SELECT *, CAST(trunc(1080 * (CAST(out_w AS DOUBLE) / crop_w)) AS INTEGER) AS tall FROM sized)
+  SELECT media_id, frame_idx, greatest(0, least(CAST(trunc(ox - out_w / 2e0) AS INTEGER), 1920 - out_w)) AS crop_x, CASE WHEN tall > 1080 THEN 0 ELSE greatest(0, least(CAST(trunc(oy - tall / 2e0) AS INTEGER), 1080 - tall)) END AS crop_y,
+  out_w, least(tall, 1080) AS out_h FROM tall"""
 
 
-@query("w16_target_lock")
+CAMERA = _camera_sql()
+
+
+@query("w14_camera_path", CAMERA)
+def _(spark, d):
+    return K.camera_path(durable(camera_frames(spark, d))).select("media_id", "frame_idx", "crop_x", "crop_y", "out_w", "out_h")
+
+
+LOCK_FPS = 5.0
+
+
+def lock_lengths(spark, d):
+    """Media items with boxes, and some without any."""
+    n = X.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("media_id"), F.lit(300).alias("n_frames"))
+    return n.unionByName(X.table(spark, d, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("media_id"), F.lit(40).alias("n_frames")))
+
+
+# states: 0 searching, 1 locked, 2 switching, 3 holding; 15 frames to switch, 10 to hold, 5 of grace
+LOCK = """WITH RECURSIVE sc AS MATERIALIZED (SELECT media_id, frame_idx, track_id, score FROM f_score),
+  top AS (SELECT media_id, frame_idx, track_id AS best, score AS top FROM (SELECT *, row_number() OVER (PARTITION BY media_id, frame_idx ORDER BY score DESC, track_id) AS rk FROM sc) WHERE rk = 1),
+  spine AS (SELECT media_id, frame_idx FROM f_spine UNION ALL SELECT -1 - n_nationkey, CAST(unnest(range(40)) AS INTEGER) FROM nation),
+  fr AS MATERIALIZED (SELECT s.media_id, s.frame_idx, best, top FROM spine s LEFT JOIN top t ON t.media_id = s.media_id AND t.frame_idx = s.frame_idx),
+  walk AS (SELECT media_id, -1 AS frame_idx, 0 AS st, CAST(NULL AS BIGINT) AS locked, CAST(NULL AS BIGINT) AS rival, 0 AS rn, 0 AS held, 0 AS lost FROM fr WHERE frame_idx = 0
+  UNION ALL SELECT media_id, frame_idx,
+    CASE c WHEN 'rest' THEN 3 WHEN 'expire' THEN 0 WHEN 'back' THEN 1 WHEN 'lock' THEN 1 WHEN 'rise' THEN 2 WHEN 'switch' THEN 1 ELSE st END,
+    CASE c WHEN 'expire' THEN NULL WHEN 'lock' THEN best WHEN 'switch' THEN rival ELSE locked END,
+    CASE c WHEN 'rise' THEN best WHEN 'other' THEN best WHEN 'switch' THEN NULL ELSE rival END,
+    CASE c WHEN 'rise' THEN 1 WHEN 'other' THEN 1 WHEN 'same' THEN rn + 1 WHEN 'switch' THEN 0 ELSE rn END,
+    CASE c WHEN 'rest' THEN 1 WHEN 'expire' THEN held + 1 WHEN 'wait' THEN held + 1 WHEN 'back' THEN 0 ELSE held END,
+    CASE WHEN c IN ('back', 'lock', 'switch') THEN 0 WHEN st = 1 AND best IS NOT NULL THEN CASE WHEN own IS NULL THEN lost + 1 ELSE 0 END ELSE lost END
+  FROM (SELECT f.media_id, f.frame_idx, best, st, locked, rival, rn, held, lost, s.score AS own,
+    CASE WHEN best IS NULL THEN CASE WHEN st IN (1, 2) THEN 'rest' WHEN st = 3 AND held + 1 >= 10 THEN 'expire' WHEN st = 3 THEN 'wait' ELSE 'none' END
+      WHEN st = 0 THEN 'lock' WHEN st = 3 THEN CASE WHEN s.score IS NOT NULL THEN 'back' WHEN held + 1 < 10 THEN 'wait' ELSE 'lock' END
+      WHEN st = 1 AND s.score IS NOT NULL THEN CASE WHEN best <> locked AND top > 2 * s.score THEN 'rise' ELSE 'none' END
+      WHEN st = 1 THEN CASE WHEN lost + 1 >= 5 THEN 'rise' ELSE 'none' END
+      WHEN best <> rival THEN 'other' WHEN rn + 1 >= 15 THEN 'switch' ELSE 'same' END AS c
+    FROM walk w JOIN fr f ON f.media_id = w.media_id AND f.frame_idx = w.frame_idx + 1 LEFT JOIN sc s ON s.media_id = f.media_id AND s.frame_idx = f.frame_idx AND s.track_id = w.locked))
+  SELECT media_id, frame_idx, CASE st WHEN 0 THEN 'SEARCHING' WHEN 1 THEN 'LOCKED' WHEN 2 THEN 'SWITCHING' ELSE 'HOLD_POSITION' END AS state, CAST(locked AS INTEGER) AS target FROM walk WHERE frame_idx >= 0"""
+
+
+@query("w16_target_lock", LOCK)
 def _(spark, d):
-    n = X.table(spark, d, "supplier").select(F.col("s_suppkey").alias("media_id"), F.lit(300).alias("n_frames"))
-    return K.target_lock(durable(X.detections(spark, d)), n, fps=5.0)
+    return K.target_lock(X.detections(spark, d), lock_lengths(spark, d), fps=LOCK_FPS)

@@ -12,18 +12,25 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def fold_stream(frames: DataFrame, keys: list[str], order: str, make: Callable[[], object], schema: str) -> DataFrame:
     """Run a fold class over the frames of each key; its state rests as text between batches.
 
-    Frames must arrive in order across micro-batches; within one they are sorted here.
+    Frames of a key must arrive in order across micro-batches; a frame that comes after a
+    later one was folded fails the query, as its result would be wrong. Within a batch
+    frames are sorted here, so a key's share of one micro-batch must fit in a task: bound
+    it by the source's files per trigger.
     """
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold = make()
+        fold, last = make(), None
         if state.exists:
-            fold.load(state.get[0])
+            last, text = state.get
+            fold.load(text)
+        rows = pd.concat(list(batches)).sort_values(order)
+        if last is not None and rows[order].iloc[0] <= last:
+            raise ValueError(f"{order} {rows[order].iloc[0]} of {key} arrived after {last}")
         out = []
-        for row in pd.concat(list(batches)).sort_values(order).itertuples(index=False):
+        for row in rows.itertuples(index=False):
             out += [key + r for r in fold.step(row)]
-        state.update((fold.dump(),))
+        state.update((int(rows[order].iloc[-1]), fold.dump()))
         yield pd.DataFrame(out, columns=names)
 
-    return frames.groupBy(*keys).applyInPandasWithState(step, schema, "text string", "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy(*keys).applyInPandasWithState(step, schema, "last long, text string", "append", GroupStateTimeout.NoTimeout)

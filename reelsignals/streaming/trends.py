@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -50,19 +50,23 @@ def running_scores(spark: SparkSession, events: DataFrame, out: str, state: str,
     are merged and written under the batch number, so a rerun gives the same files.
     """
     shape = "platform string, n bigint, mean double, m2 double"
+    of_platform = Window.partitionBy("platform")
 
     def step(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
         old = spark.read.schema(shape).parquet(f"{state}/{number - 1}") if number > 0 else spark.createDataFrame([], shape)
         std = F.sqrt(F.col("m2") / F.col("n"))
         scored = batch.join(old, "platform", "left").withColumn("z", F.coalesce(F.try_divide(F.col("velocity") - F.col("mean"), std), F.lit(0.0)))
         scored.drop("n", "mean", "m2").write.mode("overwrite").parquet(f"{out}/batch={number}")
-        new = batch.groupBy("platform").agg(F.count("velocity").alias("n"), F.avg("velocity").alias("mean"),
-                                            (F.var_pop("velocity") * F.count("velocity")).alias("m2"))
-        both = old.unionByName(new).groupBy("platform")
-        total = both.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
-                         F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")).alias("q"))
-        total.select("platform", "n", "mean", F.greatest(F.lit(0.0), F.col("q") - F.col("n") * F.col("mean") * F.col("mean")).alias("m2")
-                     ).write.mode("overwrite").parquet(f"{state}/{number}")
+        new = batch.groupBy("platform").agg(F.count("velocity").alias("n"), F.coalesce(F.avg("velocity"), F.lit(0.0)).alias("mean"),
+                                            F.coalesce(F.var_pop("velocity") * F.count("velocity"), F.lit(0.0)).alias("m2"))
+        # two rows per platform at most; squares of distances to the common mean, so nothing cancels
+        both = old.unionByName(new).withColumn("all", F.sum("n").over(of_platform))
+        both = both.withColumn("centre", F.coalesce(F.try_divide(F.sum(F.col("n") * F.col("mean")).over(of_platform), F.col("all")), F.lit(0.0)))
+        far = F.col("mean") - F.col("centre")
+        total = both.groupBy("platform").agg(F.max("all").alias("n"), F.max("centre").alias("mean"), F.sum(F.col("m2") + F.col("n") * far * far).alias("m2"))
+        total.write.mode("overwrite").parquet(f"{state}/{number}")
+        batch.unpersist()
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
