@@ -49,7 +49,7 @@ def overlap_clusters(spans: DataFrame, key: str, start: str, end: str, tie: str,
     order = F.struct(F.col(start).alias("s"), F.col(tie).alias("t"))
     d = spans.withColumns({"__o": order, O.CHUNK: F.floor(F.col(start) / chunk_seconds).cast("bigint")})
     d = O.with_carry(d, [key], {"__me": F.max(end)}, {"__in": lambda w: F.max("__me").over(O.before(w))})
-    reach = F.greatest(F.max(end).over(O.before(O.chunk_window([key], ["__o"]))), F.col("__in"))
+    reach = F.greatest(F.max(end).over(O.before(O.chunk_window(["__o"]))), F.col("__in"))
     d = d.withColumn("__new", F.when(reach.isNull() | (F.col(start) >= reach), 1).otherwise(0)).drop(O.CHUNK, "__in")
     return O.running_sum(d, [key], "__o", F.col("__new"), "cluster",
                          chunk=F.floor(F.col(start) / chunk_seconds).cast("bigint")).drop("__o", "__new")

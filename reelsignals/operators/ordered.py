@@ -5,6 +5,10 @@ each key is cut into *chunks* of its order column: the heavy window runs per
 (key, chunk), one summary row per chunk is scanned per key, and the result is
 joined back. A key that holds a third of all rows becomes many tasks, and the
 only per-key work left is one row per chunk.
+
+Key and chunk number rest in one struct column. Structs with null fields are equal, so
+rows with a null key or order value are kept by a plain equi-join, and the join and the
+window that follows it share one exchange of the rows.
 """
 
 from __future__ import annotations
@@ -28,8 +32,14 @@ def chunked(df: DataFrame, order: str, chunk: Column | None = None) -> DataFrame
     return df.withColumn(CHUNK, dense_chunk(order) if chunk is None else chunk)
 
 
-def chunk_window(keys: Sequence[str], order: Sequence[str]):
-    return Window.partitionBy(*keys, CHUNK).orderBy(*order)
+def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Put the keys into the chunk column."""
+    return df.withColumn(CHUNK, F.struct(*keys, F.col(CHUNK).alias("__no")))
+
+
+def chunk_window(order: Sequence[str]):
+    """The rows of one chunk of one key (see ``keyed``)."""
+    return Window.partitionBy(CHUNK).orderBy(*order)
 
 
 def with_carry(
@@ -43,20 +53,10 @@ def with_carry(
     ``summary`` aggregates a chunk (map-side combined); each ``carried`` function
     gets the window over the chunks of a key and returns the column to bring back.
     """
+    df = keyed(df, keys)
     parts = df.groupBy(*keys, CHUNK).agg(*[c.alias(n) for n, c in summary.items()])
     w = Window.partitionBy(*keys).orderBy(CHUNK)
-    side = parts.select(*keys, CHUNK, *[fn(w).alias(n) for n, fn in carried.items()])
-    return join_back(df, side, [*keys, CHUNK])
-
-
-def join_back(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on ``keys`` in which null equals null, so that no row is lost."""
-    names = {k: f"__side_{i}" for i, k in enumerate(keys)}
-    side = side.withColumnsRenamed(names)
-    same = F.lit(True)
-    for k, n in names.items():
-        same = same & df[k].eqNullSafe(side[n])
-    return df.join(side, same).drop(*names.values())
+    return df.join(parts.select(CHUNK, *[fn(w).alias(n) for n, fn in carried.items()]), CHUNK)
 
 
 def before(w):
@@ -73,7 +73,7 @@ def number_rows(
         d, keys, {"__n": F.count(F.lit(1))},
         {"__off": lambda w: F.coalesce(F.sum("__n").over(before(w)), F.lit(0))},
     )
-    local = F.row_number().over(chunk_window(keys, order))
+    local = F.row_number().over(chunk_window(order))
     return d.withColumn(out, F.col("__off") + local - 1 + start).drop(CHUNK, "__off")
 
 
@@ -87,7 +87,7 @@ def running_sum(
         d, keys, {"__t": F.sum("__v")},
         {"__off": lambda w: F.coalesce(F.sum("__t").over(before(w)), F.lit(0))},
     )
-    w = chunk_window(keys, [order, *tie]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = chunk_window([order, *tie]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.col("__off") + F.sum("__v").over(w)
     if not inclusive:
         total = total - F.col("__v")
@@ -105,7 +105,7 @@ def shifted(
     edge = F.min_by("__s", order) if forward else F.max_by("__s", order)
     move = F.lead if forward else F.lag
     d = with_carry(d, keys, {"__e": edge}, {"__in": lambda w: move("__e").over(w)})
-    local = move("__s").over(chunk_window(keys, [order]))
+    local = move("__s").over(chunk_window([order]))
     d = d.withColumn("__p", F.coalesce(local, F.col("__in")))
     return d.select(
         "*", *[F.col("__p")[n].alias(n) for n in values]
@@ -132,7 +132,7 @@ def last_known(
             w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         )
     d = with_carry(d, keys, summary, carried)
-    w = chunk_window(keys, [order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = chunk_window([order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tries = [F.last("__v", ignorenulls=True).over(w), F.col("__in")]
     if look_ahead:
         tries.append(F.col("__first"))
@@ -146,8 +146,8 @@ def islands(
     chunk: Column | None = None,
 ) -> DataFrame:
     """Number the runs of equal ``flag`` values per key (gaps and islands)."""
-    d = chunked(df, order, chunk).withColumn("__f", F.struct(flag.alias("v")))
-    w = chunk_window(keys, [order])
+    d = keyed(chunked(df, order, chunk), keys).withColumn("__f", F.struct(flag.alias("v")))
+    w = chunk_window([order])
     prev = F.lag("__f").over(w)
     d = d.withColumn(
         "__c", F.when(prev.isNull() | prev.eqNullSafe(F.col("__f")), 0).otherwise(1).cast("bigint")
@@ -161,11 +161,11 @@ def islands(
     )
     wk = Window.partitionBy(*keys).orderBy(CHUNK)
     side = parts.select(*keys, CHUNK, "__n", border(wk).cast("bigint").alias("__d")).select(
-        *keys, CHUNK,
+        CHUNK,
         (F.sum(F.col("__n") + F.col("__d")).over(wk.rowsBetween(Window.unboundedPreceding, 0))
          - F.col("__n")).alias("__off"),
     )
-    d = join_back(d, side, [*keys, CHUNK])
+    d = d.join(side, CHUNK)
     run = F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return d.withColumn(out, F.col("__off") + run).drop(CHUNK, "__f", "__c", "__off")
 

@@ -132,7 +132,7 @@ def moving_average3(series: DataFrame, value: str, out: str, key: str = "media_i
     d = O.with_carry(
         d, [key], {"__a": F.min_by(value, order), "__b": F.max_by(value, order), "__n": F.count(F.lit(1))},
         {"__lo": lambda w: F.lag("__b").over(w), "__hi": lambda w: F.lead("__a").over(w), "__len": lambda w: F.sum("__n").over(whole(w))})
-    w = O.chunk_window([key], [order])
+    w = O.chunk_window([order])
     v = F.col(value)
     prev = F.coalesce(F.lag(value).over(w), F.col("__lo"), v)
     nxt = F.coalesce(F.lead(value).over(w), F.col("__hi"), v)
@@ -146,9 +146,9 @@ def look_ahead_mean(series: DataFrame, value: str, out: str, k: int, key: str =
     d = series.withColumn("__home", O.dense_chunk(order, chunk_rows))
     near = F.array_distinct(F.array(
         O.dense_chunk(F.col(order) - k, chunk_rows), F.col("__home"), O.dense_chunk(F.col(order) + k, chunk_rows)))
-    d = d.withColumn(O.CHUNK, F.explode(near))
-    w = O.chunk_window([key], [order]).rowsBetween(-k, k)
-    return d.withColumn(out, F.avg(value).over(w)).where(F.col(O.CHUNK) == F.col("__home")).drop(O.CHUNK, "__home")
+    d = O.keyed(d.withColumn(O.CHUNK, F.explode(near)), [key])
+    w = O.chunk_window([order]).rowsBetween(-k, k)
+    return d.withColumn(out, F.avg(value).over(w)).where(F.col(O.CHUNK)["__no"] == F.col("__home")).drop(O.CHUNK, "__home")
 
 
 def histogram(pixels: str | Column = "pixels", bins: int = 32) -> Column:

@@ -53,7 +53,7 @@ def punctuation_groups(words: DataFrame, max_words: int = 10, closers: str = ".!
         d, [key], {"__n": F.sum("__c"), "__last": F.max(at)},
         {"__off": lambda w: F.coalesce(F.sum("__n").over(O.before(w)), F.lit(0)),
          "__prev": lambda w: F.max("__last").over(O.before(w))})
-    w = O.before(O.chunk_window([key], ["word_idx"]))
+    w = O.before(O.chunk_window(["word_idx"]))
     island = F.col("__off") + F.coalesce(F.sum("__c").over(w), F.lit(0))
     first = F.coalesce(F.max(at).over(w), F.col("__prev"), F.lit(-1)) + 1
     d = d.withColumns({"island": island, "part": F.floor((F.col("word_idx") - first) / max_words)})
