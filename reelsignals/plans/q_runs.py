@@ -1,8 +1,12 @@
 """Queries on runs, progress, inventories and stored pages."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import runs as N
+from ..session import checkpoint_root
+from ..sources import files, sinks
 from ..sources import pages as G
 from . import fixtures as X
 from .q_sourcing import stored_files
@@ -71,6 +75,27 @@ def _(spark, d):
     return N.directory_counts(N.video_inventory(stored_files(spark, d)))
 
 
+def written_files(spark, d):
+    """The part table as JSON lines in one folder per bucket of sizes."""
+    path = f"{checkpoint_root(spark)}/files/{uuid.uuid4().hex}"
+    part = X.table(spark, d, "part").select("p_partkey", "p_name", (F.col("p_size") % 5).alias("bucket"))
+    sinks.write_json(part, path, ["bucket"])
+    return path
+
+
+@query("s13_listed_folders", "SELECT CAST(p_size % 5 AS VARCHAR) AS bucket, true AS has_files FROM part GROUP BY 1")
+def _(spark, d):
+    listed = files.list_files(spark, written_files(spark, d), "*.json")
+    return listed.groupBy(F.regexp_extract("path", "/bucket=([^/]+)/", 1).alias("bucket")).agg(F.bool_or(F.col("length") > 0).alias("has_files"))
+
+
+@query("s13_text_lines", "SELECT CAST(p_size % 5 AS VARCHAR) AS bucket, p_partkey, p_name FROM part")
+def _(spark, d):
+    read = files.text_lines(spark, written_files(spark, d))
+    row = F.from_json("value", "p_partkey bigint, p_name string")
+    return read.select(F.regexp_extract("file", "/bucket=([^/]+)/", 1).alias("bucket"), row.alias("r")).select("bucket", "r.*")
+
+
 @query("j15_output_inventory", """SELECT p_brand AS output, 's' || p_partkey AS short, p_size >= 10 AS has_video, CASE WHEN p_size >= 30 THEN p_brand || '/s' || p_partkey || '/reframed.mp4' WHEN p_size >= 10 THEN p_brand || '/s' || p_partkey || '/a.mp4' END AS video_path,
   CASE WHEN p_retailprice > 1000 THEN p_name END AS metadata, CASE WHEN p_type = 'PROMO' THEN p_type END AS ai FROM part""")
 def _(spark, d):
@@ -99,18 +124,19 @@ def _(spark, d):
     return N.quarantine(o.select("o_orderkey", "o_custkey"), o.where("o_orderstatus = 'P'").select("o_custkey"), "o_custkey")
 
 
-_FIELDS = {"title": ("h1", None), "url": ("a", "href")}
+_ARTICLE = G.element(G.tag("article"))
+_FIELDS = {"title": (G.element(G.tag("h1")), None), "url": (G.element(G.tag("a")), "href")}
 CTES["f_items"] = """SELECT page_id, 0 AS item_idx, replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<article[^>]*>.*?<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&') AS title,
   replace(regexp_extract(html, '(?s)<article[^>]*>.*?<a [^>]*href="([^"]*)"', 1), '&amp;', '&') AS url, regexp_extract(url, '://([^/]+)', 1) AS host FROM pages WHERE contains(html, '<article')"""
 
 
 @query("s01_page_extraction", "SELECT page_id, item_idx, trim(title) AS title, nullif(url, '') AS url FROM f_items")
 def _(spark, d):
-    return G.extract_pages(X.table(spark, d, "pages"), "article", _FIELDS)
+    return G.extract_pages(X.table(spark, d, "pages"), _ARTICLE, _FIELDS)
 
 
 @query("s01_first_nonempty_page", "SELECT host, page_id FROM (SELECT host, page_id, row_number() OVER (PARTITION BY host ORDER BY page_id) AS rn FROM f_items) WHERE rn = 1")
 def _(spark, d):
     p = X.table(spark, d, "pages")
-    items = G.extract_pages(p, "article", _FIELDS).join(p.select("page_id", F.regexp_extract("url", "://([^/]+)", 1).alias("host")), "page_id")
+    items = G.extract_pages(p, _ARTICLE, _FIELDS).join(p.select("page_id", F.regexp_extract("url", "://([^/]+)", 1).alias("host")), "page_id")
     return G.first_nonempty(items, "host", "page_id").select("host", "page_id").distinct()

@@ -1,168 +1,75 @@
-"""Declarative extraction from stored HTML pages.
+"""Declarative extraction from stored HTML pages with built-in expressions.
 
-A layout names a base selector and fields; every base match gives one row.
-Selectors: tag, #id, .class, [attr], [attr='v'], [attr*='v'], :first-child,
-:last-child, descendants by blanks, alternatives by commas.
+A layout names the elements that begin an item and, per field, the elements that hold it.
+An item reaches from its opening tag to the opening tag of the next one; a field is the first
+fitting element of the item, and its text ends at the first end tag of the same name, so an
+element that holds another of its own name is cut there.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: page layouts per platform and the order in which their pages are tried
-LAYOUTS = {
-    "tiktok": {
-        "base": "[data-e2e='trending-item'], .trending-item, .tiktok-trending-card",
-        "fields": {
-            "title": ("h2, .title, [data-e2e='trending-title']", None),
-            "engagement": (".count, .engagement, [data-e2e='trending-count']", None),
-            "hashtag": ("a[href*='tag'], .hashtag", None),
-            "url": ("a", "href"),
-        },
-        "urls": ["https://www.tiktok.com/trending", "https://www.tiktok.com/discover"],
-    },
-    "twitter": {
-        "base": "[data-testid='trend'], .trend-item, .css-1dbjc4n",
-        "fields": {
-            "title": ("span, .trend-name", None),
-            "tweet_count": (".tweet-count, span:last-child", None),
-            "category": (".trend-category, span:first-child", None),
-        },
-        "urls": ["https://x.com/explore/tabs/trending", "https://trends24.in/", "https://getdaytrends.com/"],
-    },
-    "youtube": {
-        "base": "ytd-video-renderer, .ytd-rich-item-renderer",
-        "fields": {
-            "title": ("#video-title, .title", None),
-            "channel": ("#channel-name, .channel-name", None),
-            "views": ("#metadata-line span, .view-count", None),
-            "url": ("a#video-title-link, a#thumbnail", "href"),
-        },
-        "urls": ["https://www.youtube.com/feed/trending"],
-    },
-}
-
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_PIECE = re.compile(r"([\w-]+|\*)|#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:(\*?=)['\"]?([^'\"\]]*)['\"]?)?\]|:(first|last)-child")
-
-
-class _Element:
-    __slots__ = ("tag", "attrs", "parent", "children")
-
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-
-    def walk(self):
-        todo = [c for c in reversed(self.children) if not isinstance(c, str)]
-        while todo:
-            e = todo.pop()
-            yield e
-            todo.extend(c for c in reversed(e.children) if not isinstance(c, str))
-
-    def text(self) -> str:
-        out, todo = [], [self]
-        while todo:
-            e = todo.pop()
-            if isinstance(e, str):
-                out.append(e.strip())
-            elif e.tag not in ("script", "style"):
-                todo.extend(reversed(e.children))
-        return "".join(out)
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = _Element("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        e = _Element(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(e)
-        if tag not in _VOID:
-            self.at = e
-
-    def handle_startendtag(self, tag, attrs):
-        self.at.children.append(_Element(tag, {k: v or "" for k, v in attrs}, self.at))
-
-    def handle_endtag(self, tag):
-        e = self.at
-        while e.parent is not None and e.tag != tag:
-            e = e.parent
-        if e.parent is not None:
-            self.at = e.parent
-
-    def handle_data(self, data):
-        self.at.children.append(data)
-
-
-def _is(e: _Element, compound: str) -> bool:
-    for tag, ident, cls, attr, op, value, end in _PIECE.findall(compound):
-        if tag and tag != "*" and e.tag != tag:
-            return False
-        if ident and e.attrs.get("id") != ident:
-            return False
-        if cls and cls not in e.attrs.get("class", "").split():
-            return False
-        if attr:
-            have = e.attrs.get(attr)
-            if have is None or (op == "=" and have != value) or (op == "*=" and value not in have):
-                return False
-        if end:
-            peers = [c for c in e.parent.children if not isinstance(c, str)]
-            if peers[0 if end == "first" else -1] is not e:
-                return False
-    return True
-
-
-def _matches(e: _Element, path: list[str]) -> bool:
-    if not _is(e, path[-1]):
-        return False
-    rest, up = path[:-1], e.parent
-    while rest and up is not None:
-        if up.tag and _is(up, rest[-1]):
-            rest = rest[:-1]
-        up = up.parent
-    return not rest
-
-
-def _select(root: _Element, selector: str) -> Iterator[_Element]:
-    paths = [alt.split() for alt in selector.split(",")]
-    return (e for e in root.walk() if any(_matches(e, p) for p in paths))
-
-
-def extract_items(html: str, base: str, fields: dict) -> list[tuple]:
-    """Field values (None where absent) of every base match in one page."""
-    b = _Builder()
-    b.feed(html or "")
-    b.close()
-    rows = []
-    for item in _select(b.root, base):
-        row = []
-        for selector, attribute in fields.values():
-            hit = next(_select(item, selector), None)
-            row.append(None if hit is None else hit.text() if attribute is None else hit.attrs.get(attribute))
-        rows.append(tuple(row))
-    return rows
+# fixed values: character references that are read back, the ampersand last
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 
-def extract_pages(pages: DataFrame, base: str, fields: dict[str, tuple[str, str | None]], key: str = "page_id", html: str = "html") -> DataFrame:
-    """One row per base match: key, item_idx and one string column per field."""
-    names = list(fields)
+def tag(name: str) -> str:
+    """An element by its name."""
+    return rf"(?i:{name})(?=[\s/>])"
+
+
+def word(attribute: str, value: str, name: str = r"[\w-]+") -> str:
+    """An element with ``value`` among the blank-separated words of an attribute (class, id)."""
+    return rf"{name}\s[^>]*?\b{attribute}\s*=\s*[\"']?(?:[^\"'>]*\s)?{re.escape(value)}(?=[\s\"'>])"
+
+
+def holds(attribute: str, value: str, name: str = r"[\w-]+") -> str:
+    """An element with ``value`` anywhere in an attribute."""
+    return rf"{name}\s[^>]*?\b{attribute}\s*=\s*[\"']?[^\"'>]*{re.escape(value)}"
+
+
+def element(*forms: str) -> str:
+    """Pattern of the opening tag of an element of one of the forms; group 1 is its name."""
+    return rf"<(?={'|'.join(forms)})([\w-]+)[^>]*>"
+
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, i, *item) for k, text in zip(pdf[key], pdf[html]) for i, item in enumerate(extract_items(text, base, fields))]
-            yield pd.DataFrame(rows, columns=[key, "item_idx", *names])
+def plain_text(markup: Column) -> Column:
+    """Text without tags, the blanks around them and character references."""
+    text = F.regexp_replace(markup, r"\s*<[^>]*>\s*", "")
+    for reference, char in REFERENCES.items():
+        text = F.replace(text, F.lit(reference), F.lit(char))
+    return F.trim(text)
+
+
+def first_text(markup: Column, opening: str) -> Column:
+    """Text of the first fitting element, null without one."""
+    whole = rf"(?s){opening}(.*?)</\1\s*>"
+    return F.when(markup.rlike(whole), plain_text(F.regexp_extract(markup, whole, 2)))
+
+
+def first_attribute(markup: Column, opening: str, attribute: str) -> Column:
+    """An attribute's value in the first fitting element, null where it has none."""
+    pattern = rf"(?s)\s{attribute}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
+    start = F.regexp_extract(markup, rf"(?s){opening}", 0)
+    value = F.concat(F.regexp_extract(start, pattern, 1), F.regexp_extract(start, pattern, 2))
+    return F.when(start.rlike(pattern), plain_text(value))
+
+
+def extract_pages(pages: DataFrame, base: str, fields: dict[str, tuple[str, str | None]], key: str = "page_id", html: str = "html") -> DataFrame:
+    """One row per item: key, item_idx and one string column per field.
 
-    kind = pages.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, item_idx int, " + ", ".join(f"`{n}` string" for n in names)
-    return pages.select(key, html).mapInPandas(work, schema)
+    ``base`` and each field's pattern come from ``element``; a field with an attribute name
+    gives that attribute, else the element's text. Null pages give no rows.
+    """
+    body = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), r"(?is)<(script|style)\b.*?</\1\s*>", "")
+    items = F.filter(F.split(body, f"(?={base})"), lambda x: x.rlike(f"^{base}"))
+    d = pages.select(key, F.posexplode(items).alias("item_idx", "__item"))
+    item = F.col("__item")
+    return d.select(key, "item_idx", *[(first_text(item, p) if a is None else first_attribute(item, p, a)).alias(n) for n, (p, a) in fields.items()])
 
 
 def first_nonempty(items: DataFrame, group: str, priority: str) -> DataFrame:
@@ -171,12 +78,11 @@ def first_nonempty(items: DataFrame, group: str, priority: str) -> DataFrame:
     return items.join(best, [group, priority], "left_semi")
 
 
-def crawl_items(pages: DataFrame, platform: str) -> DataFrame:
-    """Items of a platform's stored pages, from the first url in its list that gave any."""
-    layout = LAYOUTS[platform]
-    urls = F.array(*[F.lit(u) for u in layout["urls"]])
-    d = pages.where(F.col("url").isin(layout["urls"])).withColumn("page_rank", F.array_position(urls, F.col("url")))
-    items = extract_pages(d, layout["base"], layout["fields"], "page_rank").withColumn("platform", F.lit(platform))
+def crawl_items(pages: DataFrame, platform: str, urls: list[str], base: str, fields: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """Items of a platform's stored pages, from the first of its ``urls`` that gave any."""
+    order = F.array(*[F.lit(u) for u in urls])
+    d = pages.where(F.col("url").isin(urls)).withColumn("page_rank", F.array_position(order, F.col("url")))
+    items = extract_pages(d, base, fields, "page_rank").withColumn("platform", F.lit(platform))
     for name in ("title", "name", "text", "engagement", "tweet_count", "views", "hashtag", "url", "category"):
         if name not in items.columns:
             items = items.withColumn(name, F.lit(None).cast("string"))

@@ -14,19 +14,33 @@ HTML = """<html><body><div class="trending-item big"><h2>First &amp; <b>best</b>
 <a href="/tag/a">#one #two</a></div><p>gap<div class="other"></div><div class="trending-item"><h2> </h2></div></body></html>"""
 
 
-def test_selectors_and_fallback(spark):
-    empty = "<html><body>none</body></html>"
-    d = spark.createDataFrame([(1, "https://www.tiktok.com/trending", empty), (2, "https://www.tiktok.com/discover", HTML)], "page_id int, url string, html string")
-    rows = T.normalize_crawled(pages.crawl_items(d, "tiktok")).collect()
-    assert [(r.title, r.engagement, r.hashtags, r.url) for r in rows] == [("First &best", 1.2e6, ["one", "two"], "/tag/a")]
+CARD = pages.element(pages.word("data-e2e", "trending-item"), pages.word("class", "trending-item"))
+FIELDS = {
+    "title": (pages.element(pages.tag("h2"), pages.word("class", "title")), None),
+    "engagement": (pages.element(pages.word("class", "count"), pages.word("class", "engagement")), None),
+    "hashtag": (pages.element(pages.holds("href", "tag", "a"), pages.word("class", "hashtag")), None),
+    "url": (pages.element(pages.tag("a")), "href"),
+}
 
 
-def test_selector_forms():
-    get = lambda sel: [i[0] for i in pages.extract_items(HTML, "body", {"x": (sel, None)})]
-    assert get("div.big h2 b") == ["best"]
-    assert get("[class*='trend'] .count, h9") == ["1.2M"]
-    assert get("a[href='/tag/a']") == ["#one #two"]
-    assert get("h2 i") == [None]
+def test_layout_and_fallback(spark):
+    empty = "<html><body>none</body></html>"
+    d = spark.createDataFrame([(1, "https://a.example/one", empty), (2, "https://a.example/two", HTML), (3, "https://a.example/three", HTML), (4, "https://a.example/one", None)],
+                              "page_id int, url string, html string")
+    items = pages.crawl_items(d, "tiktok", ["https://a.example/one", "https://a.example/two", "https://a.example/three"], CARD, FIELDS)
+    assert [(r.title, r.engagement, r.hashtags, r.url) for r in T.normalize_crawled(items).collect()] == [("First &best", 1.2e6, ["one", "two"], "/tag/a")]
+
+
+def test_element_forms(spark):
+    d = spark.createDataFrame([(1, "<body><!-- <p>no</p> --><script>'<p>no</p>'</script><DIV class='a trend-x b'><P>one</P></DIV><p id=z>two</p><i>open <p data-k='x y'>th<b>r</b>ee</p></body>")],
+                              "page_id int, html string")
+    get = lambda *forms: pages.extract_pages(d, pages.element(pages.tag("body")), {"x": (pages.element(*forms), None)}).first().x
+    assert get(pages.tag("p")) == "one"
+    assert get(pages.word("id", "z")) == "two" and get(pages.word("data-k", "y", "p")) == "three"
+    assert get(pages.word("class", "trend")) is None and get(pages.word("class", "trend-x")) == "one" and get(pages.holds("class", "trend")) == "one"
+    assert get(pages.tag("i"), pages.tag("u")) is None and get(pages.tag("u"), pages.tag("b")) == "r"
+    many = pages.extract_pages(d, pages.element(pages.tag("p")), {"x": (pages.element(pages.tag("p")), None)}).orderBy("item_idx").collect()
+    assert [(r.item_idx, r.x) for r in many] == [(0, "one"), (1, "two"), (2, "three")]
 
 
 def test_file_listing_and_sinks(spark, tmp_path):
