@@ -1,6 +1,7 @@
 """Times the headline queries and prints one JSON line.
 
-    BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default all cores)
+    BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default all cores),
+    BENCH_RUNS (default 3; the median counts, so a cold first run does not)
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ HEADLINE = [
     "s07_transcript_scan", "w09_fixed_word_groups", "w10_punctuation_segments", "j07_transcript_slice", "j08_clip_retime_words", "j04_speaker_attribution",
     "w08_speaker_turn_merge", "s15_ass_documents", "a12_thresholds", "w02_low_activity_zones", "j13_series_resample", "j09_frame_triggers",
     "p15_detection_geometry", "j14_hold_last_target", "j06_active_speaker", "w13_dead_zone_ema", "w16_target_lock", "a15_scene_cuts", "a04_qa_report",
-    "p27_thumbnail_time", "a14_overall_progress", "s01_page_extraction", "x02_best_moments",
+    "p27_thumbnail_time", "a14_overall_progress", "s01_page_extraction", "x02_best_moments", "w04_hysteresis_peaks", "w07_trigger_dedupe", "w14_camera_path", "w15_centre_kalman", "x03_snap_to_words",
+    "t03_acceleration_stream",
 ]
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = local_session("bench", cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8)
     spark.sparkContext.setLogLevel("ERROR")
     registry.QUERIES["k01_trend_ranking"](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import intervals as I
+from . import ordered as O
 from .transcripts import fixed_groups, ordered_text
 
 STYLE_SCHEMA = (
@@ -40,7 +41,7 @@ def styled_lines(words: DataFrame, key: str = "media_id") -> DataFrame:
     keep = ["style", "highlight", "animation", "npo"]
     look = words.select(key, *keep).distinct()
     lines = fixed_groups(words, F.col("words_per_line"), key)
-    return lines.join(look, key)
+    return O.join_stats(lines, look, [key], "line_idx")
 
 
 def events(lines: DataFrame, key: str = "media_id") -> DataFrame:

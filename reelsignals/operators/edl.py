@@ -75,7 +75,7 @@ def best_moments(moments: DataFrame, key: str = "media_id") -> DataFrame:
 def frames_needed(spans: DataFrame, frames: DataFrame, fps: float = 30.0, pad: int = 150, key: str = "media_id") -> DataFrame:
     """Only the frames up to the last one any span needs."""
     last = spans.groupBy(key).agg(((F.max("end_time") * fps).cast("bigint") + pad).alias("__last"))
-    return frames.join(last, key).where(F.col("frame_idx") <= F.col("__last")).drop("__last")
+    return O.join_stats(frames, last, [key], "frame_idx").where(F.col("frame_idx") <= F.col("__last")).drop("__last")
 
 
 def sample_times(media: DataFrame, n: int, duration: str = "duration") -> DataFrame:

@@ -188,7 +188,7 @@ def exact_percentiles(
         F.floor(F.try_divide(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * (bins - 1)),
         F.lit(0),
     )
-    binned = counts.join(bounds, list(keys)).withColumn("__bin", bin_no.cast("bigint"))
+    binned = join_stats(counts, bounds, keys, "__v").withColumn("__bin", bin_no.cast("bigint"))
     hist = binned.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__bc"), F.max("__n").alias("__n"))
     w = Window.partitionBy(*keys).orderBy("__bin")
     hist = hist.withColumn("__before", F.coalesce(F.sum("__bc").over(before(w)), F.lit(0)))
@@ -214,6 +214,14 @@ def exact_percentiles(
     return near.groupBy(*keys).agg(*aggs)
 
 
+def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], spread: str, salts: int = 32) -> DataFrame:
+    """Inner join with one small row per key that does not gather a hot key: the rows of a key
+    go to ``salts`` places by a hash of ``spread``, and its statistics to all of them."""
+    side = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts).cast("bigint")))
+    return salted.join(side, [*keys, "__salt"]).drop("__salt")
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row per key under a total order, as a map-side combined aggregate."""
     rest = [c for c in df.columns if c not in keys]

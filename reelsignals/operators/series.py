@@ -34,7 +34,7 @@ def voice_segments(series: DataFrame, speech: Column, frame_sec: float, key: str
 def energy_voice_segments(series: DataFrame, frame_sec: float, key: str = "media_id", value: str = "rms") -> DataFrame:
     """Speech where the energy exceeds twice the median, kept when longer than 0.1 s."""
     med = O.exact_percentiles(series, [key], value, {"__med": 0.5})
-    return voice_segments(series.join(med, key), F.col(value) > F.col("__med") * 2, frame_sec, key, min_sec=0.1)
+    return voice_segments(O.join_stats(series, med, [key], "frame_idx"), F.col(value) > F.col("__med") * 2, frame_sec, key, min_sec=0.1)
 
 
 def low_activity(ti: Column, ae: Column, ti_max: float = 5.0, ae_max: float = 0.5, mode: str = "or") -> Column:
@@ -73,7 +73,7 @@ def hysteresis_peaks(series: DataFrame, limits: DataFrame, frame_sec: float, key
 
     A peak still open at the last frame is dropped.
     """
-    d = series.join(limits, key).withColumn("e", rms_norm())
+    d = O.join_stats(series, limits, [key], "frame_idx").withColumn("e", rms_norm())
     hi = F.col("peak_threshold")
     change = F.when(F.col("e") > hi, True).when(F.col("e") < hi * 0.8, False)
     d = O.last_known(d, [key], "frame_idx", change, "in_peak", fallback=F.lit(False))
@@ -95,7 +95,7 @@ def peak_triggers(peaks: DataFrame, key: str = "media_id", limit: int = 20) -> D
 
 def onset_triggers(series: DataFrame, limits: DataFrame, frame_sec: float, key: str = "media_id") -> DataFrame:
     """Onsets stronger than the 90th percentile as short shakes."""
-    d = series.join(limits, key).where(F.col("onset") > F.col("onset_p90"))
+    d = O.join_stats(series, limits, [key], "frame_idx").where(F.col("onset") > F.col("onset_p90"))
     return d.select(key, (F.col("frame_idx") * F.lit(frame_sec)).alias("timestamp"), F.lit("shake").alias("effect_type"),
                     (F.col("onset") / F.col("onset_max")).alias("intensity"), F.lit(0.15).alias("duration"),
                     F.lit("onset_strong").alias("source"), F.col("frame_idx").alias("source_idx"))

@@ -133,7 +133,7 @@ def super_trends(df: DataFrame, threshold: float = 1.5) -> DataFrame:
 def platform_z(df: DataFrame, value: str = "velocity") -> DataFrame:
     """z-score within each platform; one aggregate row per platform joined back."""
     stats = df.groupBy("platform").agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
-    return df.join(stats, "platform").withColumn(
+    return O.join_stats(df, stats, ["platform"], value).withColumn(
         "z", F.coalesce(F.try_divide(F.col(value) - F.col("__m"), F.col("__s")), F.lit(0.0))).drop("__m", "__s")
 
 

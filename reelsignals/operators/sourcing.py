@@ -45,11 +45,11 @@ def quality_gate(candidates: DataFrame) -> DataFrame:
 def select_candidates(gated: DataFrame, relaxed_limit: int = 5) -> DataFrame:
     """Passing candidates by views; where a query has none, the first few of fitting duration.
 
-    Whether a query has any is one aggregated flag per query joined back, so no
-    query's candidates meet in one task.
+    Whether a query has any is one aggregated flag per query, joined back to its
+    candidates in several places, so a hot query's candidates do not meet in one task.
     """
     any_pass = gated.groupBy("query_id").agg(F.bool_or("passes_quality").alias("__any"))
-    d = gated.join(any_pass, "query_id")
+    d = O.join_stats(gated, any_pass, ["query_id"], "video_id")
     strict = d.where("__any AND passes_quality").withColumn("relaxed", F.lit(False))
     fits = d.where(~F.col("__any") & F.col("duration_seconds").between(MIN_SEC, MAX_SEC))
     relaxed = O.top_n(fits, ["query_id"], [F.col("view_count").desc(), F.col("video_id")], relaxed_limit, "__rn").drop("__rn")

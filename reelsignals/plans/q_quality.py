@@ -1,5 +1,6 @@
 """Queries on quality reports, drift, black frames, thumbnails and contracts."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import hooks as H
@@ -107,6 +108,16 @@ def _(spark, d):
     return r.select("arrival_idx", R6("viral_score").alias("viral_score"), F.size("violations").alias("n_violations"))
 
 
+@query("h02_plugged_scorer", """SELECT arrival_idx, round(velocity * 150 - 10, 6) AS viral_score, CASE WHEN velocity * 150 - 10 BETWEEN 0 AND 100 THEN 0 ELSE 1 END AS n_violations FROM f_signals""")
+def _(spark, d):
+    @F.pandas_udf("double")
+    def scorer(velocity: pd.Series) -> pd.Series:
+        return velocity * 150 - 10
+
+    r = H.rank_trends(X.signals(spark, d), scorer, "velocity")
+    return r.select("arrival_idx", R6("viral_score").alias("viral_score"), F.size("violations").alias("n_violations"))
+
+
 @query("h01_job_handler", """SELECT o_orderkey AS job_id, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'completed' END AS status, CASE WHEN o_orderstatus <> 'P' THEN upper(o_orderpriority) END AS result,
   CASE WHEN o_orderstatus = 'P' THEN 'cannot handle P' END AS error FROM orders""")
 def _(spark, d):

@@ -198,12 +198,13 @@ def _(spark, d):
 
 
 @query("j10_pacing_zoom", """SELECT s.media_id, s.frame_idx, coalesce(zoom, 1e0) AS zoom FROM f_series s LEFT JOIN (SELECT media_id, frame_idx, arg_max(value + action_idx / 100e0, action_idx) AS zoom FROM
-  (SELECT *, unnest(range(CAST(trunc(start_time * 10) AS BIGINT), CAST(trunc(end_time * 10) AS BIGINT) + 1)) AS frame_idx FROM f_zones) GROUP BY 1, 2) z ON s.media_id = z.media_id AND s.frame_idx = z.frame_idx""")
+  (SELECT *, unnest(range(CAST(trunc(start_time * 10) AS BIGINT), CAST(trunc((end_time + 3) * 10) AS BIGINT) + 1)) AS frame_idx FROM f_zones) GROUP BY 1, 2) z ON s.media_id = z.media_id AND s.frame_idx = z.frame_idx""")
 def _(spark, d):
     s = X.series(spark, d)
     z = R.low_activity_zones(s, fps=10.0).withColumn("__f", (F.col("start_time") * 10).cast("bigint"))
     z = O.number_rows(z, ["media_id"], ["__f"], "action_idx", chunk=O.dense_chunk("__f"), start=1)
-    z = z.withColumn("value", F.col("value") + F.col("action_idx") / F.lit(100.0))
+    # every action lasts three seconds longer, so that neighbours overlap and the last one wins
+    z = z.withColumns({"value": F.col("value") + F.col("action_idx") / F.lit(100.0), "end_time": F.col("end_time") + 3})
     return X2.pacing_zoom(s.select("media_id", "frame_idx"), z, fps=10.0)
 
 

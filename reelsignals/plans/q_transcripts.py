@@ -172,10 +172,13 @@ def _(spark, d):
     return W.retime_frames(X.detections(spark, d), clips(spark, d)).select("media_id", "clip_idx", "track_id", "clip_frame")
 
 
-@query("x04_word_error_rate", """SELECT conv_id, turn, round(len(list_filter(ws, lambda w, i: i % 7 = 4)) / len(ws), 9) AS wer FROM f_turn_sizes WHERE n > 0""")
+@query("x04_word_error_rate", """SELECT conv_id, turn, round((len(list_filter(ws, lambda w, i: i % 7 = 4)) + CASE WHEN turn % 2 = 1 THEN len(list_filter(ws, lambda w, i: i % 5 = 3)) ELSE 0 END) / len(ws), 9) AS wer FROM f_turn_sizes WHERE n > 0""")
 def _(spark, d):
     c = X.table(spark, d, "conversations").select("conv_id", "turn", S.split_words("text").alias("ref")).where(F.size("ref") > 0)
-    c = c.withColumn("hyp", F.filter("ref", lambda w, i: i % 7 != 3))
+    # every seventh word is lost; in odd turns it is misheard instead, and a noise comes before every fifth
+    heard = lambda w, i: F.array_compact(F.array(F.when(i % 5 == 2, "\u00a7"), F.when(i % 7 == 3, "\u00a7").otherwise(w)))
+    lost, noisy = F.filter("ref", lambda w, i: i % 7 != 3), F.flatten(F.transform("ref", heard))
+    c = c.withColumn("hyp", F.when(F.col("turn") % 2 == 1, noisy).otherwise(lost))
     return c.select("conv_id", "turn", F.round(W.word_error_rate("ref", "hyp"), 9).alias("wer"))
 
 
