@@ -4,8 +4,14 @@ Every run of ``SPAN`` consecutive sentences is hashed (words lower-cased, white
 ignored). Equal hashes meet in one group; all but the first run (by doc_id, null last, then
 reading order) are repeats, and every sentence a repeat covers is removed.
 
-A sentence ends with a word that closes in . ! or ?, at a line break, or after ``LONGEST``
-words. Repeats within a task's batch are settled there, so a run shared by a third of all
+A sentence ends with a word that closes in . ! or ? or at a line break. One of more than
+``LONGEST`` words is cut at places that its words alone decide, so that a passage without stops
+is cut alike whatever comes before it: after each word whose hash is the least within
+``NEAR`` words on both sides and, where that leaves more than ``LONGEST`` words, after the
+word of least hash among the last ``NEAR`` that may end the piece. A passage shows its cuts
+from its sixth word on; a repeat needs three whole pieces (about 11 words each) inside it.
+
+Repeats within a task's batch are settled there, so a run shared by a third of all
 documents sends one row per batch to its group. Runs travel packed, one row per batch and group.
 """
 
@@ -23,12 +29,35 @@ from .texthash import BASE, Words, mix, run_hashes
 
 SPAN = 3
 LONGEST = 20
+NEAR = 5
 FLUSH = 1 << 19
 ROW_BITS = 33
 CLOSES = np.zeros(256, bool)
 CLOSES[[ord(c) for c in ".!?"]] = True
 
 
+def cut_long(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the sentences [starts, ends), which follow each other, with the long ones cut by their words."""
+    if not len(ends) or (ends - starts).max() <= LONGEST:
+        return starts, ends
+    long = np.repeat(ends - starts > LONGEST, ends - starts)
+    place = np.arange(len(hashes))
+    least = long & (place - np.repeat(starts, ends - starts) >= NEAR) & (np.repeat(ends, ends - starts) - place > NEAR)
+    for k in range(1, NEAR + 1):
+        least[k:] &= hashes[k:] < hashes[:-k]
+        least[:-k] &= hashes[:-k] <= hashes[k:]
+    least[ends - 1] = True
+    bounds = [np.flatnonzero(least) + 1]
+    start, end = np.r_[0, bounds[0][:-1]], bounds[0]
+    while (more := end - start > LONGEST).any():
+        start, end = start[more], end[more]
+        late = hashes[start[:, None] + np.arange(LONGEST - 1, LONGEST - 1 - NEAR, -1)]
+        start = start + LONGEST - late.argmin(axis=1)
+        bounds.append(start)
+    end = np.sort(np.concatenate(bounds))
+    return np.r_[0, end[:-1]], end
+
+
 class Sentences:
     """Sentences of a batch: hash, text number, first word's byte; ``bounds`` of each text."""
 
@@ -42,9 +71,7 @@ class Sentences:
         stop[w.bounds[1:][w.bounds[1:] > w.bounds[:-1]] - 1] = True
         ends = np.flatnonzero(stop) + 1
         starts = np.r_[0, ends[:-1]][: len(ends)]
-        cut = np.maximum(1, -(-(ends - starts) // LONGEST))
-        start = np.repeat(starts, cut) + LONGEST * (np.arange(cut.sum()) - np.repeat(np.cumsum(cut) - cut, cut))
-        end = np.minimum(start + LONGEST, np.repeat(ends, cut))
+        start, end = cut_long(w.hashes, starts, ends)
         self.hashes = run_hashes(w.hashes, start, end)
         self.bounds = np.searchsorted(start, w.bounds)
         self.byte = w.first[start]

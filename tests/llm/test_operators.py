@@ -476,6 +476,30 @@ def test_sentence_spans(spark, tmp_path, monkeypatch):
     assert sum("shared 4 words" in (r["kept_text"] or "") for r in got) == 1
 
 
+@pytest.mark.parametrize("passage", [" ".join(f"p{i}" for i in np.random.default_rng(7).integers(0, 400, 400)), "ha ho hu he hi " * 80, "a b c d e f g h i j " * 40, "go on now " * 60], ids=["varied", "of five", "of ten", "of three"])
+def test_sentence_spans_without_stops(spark, tmp_path, passage):
+    """Copies of a passage without stops behind heads of every length lose it, but for its edges."""
+    texts = [" ".join([f"h{i}x{j}" for j in range(i)] + passage.split() + [f"t{i}x{j}" for j in range(i % 7)]) for i in range(20)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    got = sentence_spans.remove_repeats(spark.read.parquet(str(tmp_path / "d"))).collect()
+    own = set(passage.split())
+    for r in got:
+        left = words(r["kept_text"])
+        assert [w for w in left if w not in own] == [w for w in words(texts[r["doc_id"]]) if w not in own]
+        assert r["doc_id"] == 0 or sum(w in own for w in left) <= 80
+
+
+def test_cuts_of_long_sentences_are_short_and_whole():
+    rng = np.random.default_rng(11)
+    for sizes in ([1, 20, 21, 500, 3], [20, 20], [400], []):
+        ends = np.cumsum(np.array(sizes, np.int64))
+        starts = ends - np.array(sizes, np.int64)
+        for hashes in (rng.integers(0, 2**63, sum(sizes)).astype(np.uint64), np.ones(sum(sizes), np.uint64)):
+            a, b = sentence_spans.cut_long(hashes, starts, ends)
+            assert a.tolist() == [0, *b.tolist()[:-1]][: len(a)] and set(ends.tolist()) <= set(b.tolist())
+            assert all(0 < n <= 20 for n in (b - a).tolist())
+
+
 def test_sentence_spans_of_awkward_and_empty_tables(spark, docs, none):
     assert sentence_spans.remove_repeats(docs).count() == docs.count()
     assert sentence_spans.remove_repeats(none).count() == 0
