@@ -15,12 +15,15 @@ import numpy as np
 HIDDEN, EMBED, WIDTH = 24, 16, 32
 LANES, STEPS = 512, 64
 TRAIN_LANES, TRAIN_STEPS = 32, 32
+ROWS = 4096
 END = 0
 NAMES = ("embed", "wx", "wh", "b", "wc", "bc", "ww", "bw")
 
 
 def sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+    x = np.exp(-x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def new_params(freq: np.ndarray, seed: int = 5) -> dict:
@@ -36,15 +39,19 @@ def new_params(freq: np.ndarray, seed: int = 5) -> dict:
 
 
 def _log_softmax(x):
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    most = x
+    while (k := most.shape[1]) > 1:
+        most = np.maximum(most[:, : (k + 1) // 2], most[:, k // 2 :])
+    x = x - most
+    x -= np.log(np.exp(x) @ np.ones((x.shape[1], 1), x.dtype))
+    return x
 
 
 def step(gx, h, wh):
     g = h @ wh
     gates = sigmoid(gx[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
     z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    n = 2 * sigmoid(2 * (gx[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])) - 1
+    n = np.tanh(gx[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
     return n + z * (h - n), z, r, n, g[:, 2 * HIDDEN :]
 
 
@@ -62,18 +69,23 @@ def output(p: dict, x: np.ndarray, ids: np.ndarray, grads: dict | None = None):
         grads["wc"] += x.T @ d
         grads["bc"] += d.sum(0)
         dx = d @ p["wc"].T
-    for c in np.flatnonzero(cut[1:] > cut[:-1]):
-        i = order[cut[c] : cut[c + 1]]
-        lw = _log_softmax(x[i] @ p["ww"][c] + p["bw"][c])
-        pick = (np.arange(len(i)), word[i])
-        logp[i] += lw[pick]
-        if grads is not None:
-            d = np.exp(lw)
-            d[pick] -= 1
-            d /= n
-            grads["ww"][c] += x[i].T @ d
-            grads["bw"][c] += d.sum(0)
-            dx[i] += d @ p["ww"][c].T
+    parts = [(c, slice(cut[c], cut[c + 1])) for c in np.flatnonzero(cut[1:] > cut[:-1])]
+    x, pick = x[order], (np.arange(n), word[order])
+    lw = p["bw"][cls[order]]
+    for c, i in parts:
+        lw[i] += x[i] @ p["ww"][c]
+    lw = _log_softmax(lw)
+    logp[order] += lw[pick]
+    if grads is not None:
+        d = np.exp(lw)
+        d[pick] -= 1
+        d /= n
+        back = np.empty_like(dx)
+        for c, i in parts:
+            grads["ww"][c] += x[i].T @ d[i]
+            grads["bw"][c] += d[i].sum(0)
+            np.matmul(d[i], p["ww"][c].T, out=back[i])
+        dx[order] += back
     return (logp, dx) if grads is not None else logp
 
 
@@ -84,30 +96,36 @@ def window_gradients(p: dict, ids: np.ndarray, before: np.ndarray, h: np.ndarray
     g = {k: np.zeros_like(x) for k, x in p.items()}
     x = p["embed"][before]
     gx = x @ p["wx"] + p["b"]
-    trace, states = [], np.empty((steps, lanes, HIDDEN), np.float32)
+    go = (before != END)[:, :, None].astype(gx.dtype)
+    trace = []
     for t in range(steps):
-        go = (before[t] != END)[:, None].astype(np.float32)
-        start = h * go
+        start = h * go[t]
         h, z, r, n, u = step(gx[t], start, p["wh"])
-        states[t] = h
-        trace.append((start, z, r, n, u, go))
+        trace.append((h, start, z, r, n, u))
+    states, start, z, r, n, u = (np.stack(x) for x in zip(*trace))
     logp, dx = output(p, states.reshape(-1, HIDDEN), ids.reshape(-1), g)
     dx = dx.reshape(steps, lanes, HIDDEN)
-    dh, dgx = np.zeros((lanes, HIDDEN), np.float32), np.empty_like(gx)
+    by_n, by_z, by_r = (1 - z) * (1 - n * n), (start - n) * z * (1 - z), u * r * (1 - r)
+    dh, dg, dn = np.zeros((lanes, HIDDEN), dx.dtype), np.empty_like(gx), np.empty_like(z)
+    wh = np.ascontiguousarray(p["wh"].T)
     for t in range(steps - 1, -1, -1):
-        start, z, r, n, u, go = trace[t]
-        dh = dh + dx[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (start - n) * z * (1 - z)
-        dr = dn * u * r * (1 - r)
-        dgx[t] = np.concatenate([dz, dr, dn], 1)
-        dg = np.concatenate([dz, dr, dn * r], 1)
-        g["wh"] += start.T @ dg
-        dh = (dh * z + dg @ p["wh"].T) * go
-    flat = dgx.reshape(-1, 3 * HIDDEN)
+        dh += dx[t]
+        np.multiply(dh, by_n[t], out=dn[t])
+        np.multiply(dh, by_z[t], out=dg[t, :, :HIDDEN])
+        np.multiply(dn[t], by_r[t], out=dg[t, :, HIDDEN : 2 * HIDDEN])
+        np.multiply(dn[t], r[t], out=dg[t, :, 2 * HIDDEN :])
+        dh *= z[t]
+        dh += dg[t] @ wh
+        dh *= go[t]
+    g["wh"] = start.reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
+    dg[:, :, 2 * HIDDEN :] = dn
+    flat = dg.reshape(-1, 3 * HIDDEN)
     g["b"] = flat.sum(0)
     g["wx"] = x.reshape(-1, EMBED).T @ flat
-    np.add.at(g["embed"], before.reshape(-1), flat @ p["wx"].T)
+    order = np.argsort(before, axis=None, kind="stable")
+    words = before.reshape(-1)[order]
+    first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+    g["embed"][words[first]] = np.add.reduceat((flat @ p["wx"].T)[order], first)
     return g, h, -logp.mean()
 
 
@@ -132,12 +150,12 @@ class Trainer:
             g, h, _ = window_gradients(self.p, now[a : a + TRAIN_STEPS], before[a : a + TRAIN_STEPS], h)
             norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
             self.t += 1
-            rate = self.rate / (1 + self.t / 200) * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+            rate = self.rate / (1 + self.t / 200) * (1 - 0.999**self.t) ** 0.5 / (1 - 0.9**self.t)
             for k, x in g.items():
                 x *= min(1.0, 1.0 / (norm + 1e-9))
                 self.m[k] += 0.1 * (x - self.m[k])
                 self.v[k] += 0.001 * (x * x - self.v[k])
-                self.p[k] -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
+                self.p[k] -= rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
 
 
 def score(p: dict, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -178,6 +196,7 @@ def score(p: dict, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             states[t] = h
             last = now[t]
         real = own.reshape(-1) >= 0
-        logp = output(p, states.reshape(-1, HIDDEN)[real], now.reshape(-1)[real])
-        out += np.bincount(own.reshape(-1)[real], logp, n)
+        x, now, own = states.reshape(-1, HIDDEN)[real], now.reshape(-1)[real], own.reshape(-1)[real]
+        for i in range(0, len(own), ROWS):
+            out += np.bincount(own[i : i + ROWS], output(p, x[i : i + ROWS], now[i : i + ROWS]), n)
     return out

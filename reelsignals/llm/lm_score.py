@@ -8,8 +8,8 @@ document's words look their counts up in the ranges, one packed row per batch an
 The recurrent model (``gru``) predicts a vocabulary of ``VOCABULARY`` ids: the end, the unknown,
 and the most frequent words. A word outside has the probability of the unknown times its
 smoothed share (c + 1) / (N' + V' + 1) among the words outside. The model learns in every
-task from a share of the training documents, ``TRAIN_SHARE`` of them by a hash of the id, and
-the tasks' parameters are averaged by words seen (in groups of tasks first).
+task from all of the task's training documents, and the tasks' parameters are averaged by
+words seen (in groups of tasks first).
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from .texthash import word_hashes
 
 COMMON = 1 << 19
 VOCABULARY = 1024
-TRAIN_SHARE = 12
 FLUSH = 1 << 20
 UNKNOWN = 1
 COUNT_KIND = "range long, words binary, counts binary"
@@ -234,7 +233,7 @@ def rare_sums(rows: DataFrame, table: DataFrame, shared, bits: int) -> DataFrame
     return sums.groupBy("__uid").agg(F.sum("rare_log").alias("rare_log"), F.sum("rare_known").alias("rare_known"))
 
 
-def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, share: int = TRAIN_SHARE) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """``docs`` (a table scan): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A null or empty text is its end alone. A row without a doc_id is in no training fold and
@@ -249,7 +248,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, share: int =
     documents = trained.count()
     total, types = table.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     known = Knowledge(documents, total, types, *common_words(table, COMMON))
-    known.params = learn(trained.where(F.pmod(F.xxhash64("doc_id", F.lit("learn")), F.lit(share)) == 0).select("text"), known)
+    known.params = learn(trained.select("text"), known)
     shared = docs.sparkSession.sparkContext.broadcast(known)
     names = ["__uid", "doc_id", "held_out", "n_tokens", "n_known", "n_unknown", "common_log", "unknown_log", "model_log"]
 

@@ -432,6 +432,14 @@ def test_base_scores(spark, docs, none, monkeypatch, common):
     assert lm_score.score_documents(none).count() == 0
 
 
+def test_model_learns_from_every_training_document(spark, docs, monkeypatch):
+    given = []
+    monkeypatch.setattr(lm_score, "learn", lambda texts, known: given.extend(r["text"] for r in texts.collect()) or known.params)
+    lm_score.score_documents(docs)
+    held = lambda d: d is None or zlib.crc32(str(d).encode()) % 7 == 2
+    assert Counter(given) == Counter(r["text"] for r in docs.collect() if not held(r["doc_id"]))
+
+
 def test_model_beats_counts_on_held_out(spark):
     d = lm_score.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").toPandas()
     assert d["score"].sum() > d["base_score"].sum()
