@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
@@ -40,15 +41,18 @@ EDGES = ".,;:!?\"'()[]{}<>*#&%$|-_"
 SAMPLE = 8192
 PIECES = 4096
 CACHE = 500_000
+LONG = 64
 
 
-def pieces(word: str) -> set[str]:
-    """The word with its end marks, its beginnings of 3 to 7 letters, its inner pieces of five."""
-    w = f"<{word[:64]}>"
-    out = {w}
-    out.update(w[:n] for n in range(4, min(9, len(w))))
-    out.update(w[i : i + 5] for i in range(1, len(w) - 5))
-    return out
+def pieces(word: str) -> Iterator[str]:
+    """The word with its end marks, its beginnings of 3 to 7 letters, its inner pieces of five.
+
+    A text without blanks is one word and gives the pieces of all of it.
+    """
+    w = f"<{word}>"
+    yield w
+    yield from (w[:n] for n in range(4, min(9, len(w))))
+    yield from (w[i : i + 5] for i in range(1, len(w) - 5))
 
 
 def words_of(text: str | None) -> set[str]:
@@ -56,14 +60,17 @@ def words_of(text: str | None) -> set[str]:
 
 
 def features(words: set[str], chosen: dict, cache: dict) -> set[int]:
-    """Numbers of the chosen pieces in ``words``; ``cache`` remembers words."""
+    """Numbers of the chosen pieces in ``words``; ``cache`` remembers words of up to ``LONG`` letters."""
     found: set[int] = set()
     for w in words:
+        if len(w) > LONG:
+            found.update(chosen[p] for p in pieces(w) if p in chosen)
+            continue
         hit = cache.get(w)
         if hit is None:
             if len(cache) >= CACHE:
                 cache.clear()
-            hit = cache[w] = tuple(chosen[p] for p in pieces(w) if p in chosen)
+            hit = cache[w] = tuple({chosen[p] for p in pieces(w) if p in chosen})
         if hit:
             found.update(hit)
     return found
@@ -87,10 +94,13 @@ def _piece_counts(rows: DataFrame) -> DataFrame:
             for text, toxic in zip(b["text"], b["toxic"]):
                 own: set[str] = set()
                 for w in words_of(text):
+                    if len(w) > LONG:
+                        own.update(pieces(w))
+                        continue
                     if w not in known:
                         if len(known) >= CACHE:
                             known.clear()
-                        known[w] = pieces(w)
+                        known[w] = set(pieces(w))
                     own |= known[w]
                 tallies[toxic].update(own)
         names = list(tallies[0].keys() | tallies[1].keys())

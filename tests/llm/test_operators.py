@@ -527,6 +527,19 @@ def test_toxicity(spark, docs, none):
     assert toxicity.scored(docs, toxicity.train(docs, labels.limit(0))).where("predicted = 1").count() == 0
 
 
+@pytest.mark.parametrize("between", ["", "_", "\u00a0"])
+def test_toxic_end_of_a_text_without_blanks(spark, tmp_path, between):
+    rng = np.random.default_rng(3)
+    letters = [chr(0x4E00 + i) for i in range(300)]
+    texts = [between.join([*rng.choice(letters, 600), *("滾開你這壞東西" if i % 2 else "謝謝你好朋友們")]) for i in range(120)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs, labels = spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    held = [r for r in toxicity.scored(docs, model).collect() if r["held_out"]]
+    assert len(held) > 10 and all(r["predicted"] == r["doc_id"] % 2 for r in held)
+    assert sorted(r["doc_id"] for r in toxicity.without_toxic(docs, model).collect()) == list(range(0, 120, 2))
+
+
 def test_counterfactual_penalty_frees_group_names():
     """Toxic rows mention a group, clean ones do not: with the penalty the name alone does not condemn."""
     name, other, slur, plain = 0, 1, 2, 3
