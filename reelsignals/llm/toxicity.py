@@ -7,7 +7,8 @@ logistic model is fitted on them. For each sampled sentence that mentions a grou
 another group's name in its place is made, and the model pays for every difference
 between the two scores, so that a neutral mention of a group moves no score.
 
-Sampling: at most ``sample`` rows of each label, those with the least hash of the id. The
+Sampling: at most ``sample`` rows of each label, those with the least hash of the id; of the
+rows that repeat an id, the text with the least hash. The
 sampled ids are the only broadcast (2 * ``sample`` at most); their documents reach the driver
 as lists of chosen pieces. Scoring is one pass over all texts without a shuffle.
 """
@@ -82,7 +83,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, folds: int,
     votes = votes.where(fold_of(F.col("doc_id"), folds) != held).withColumn("o", F.xxhash64("doc_id", F.lit("sample")))
     chosen = [votes.where((F.col("toxic") > 0) == F.lit(y)).orderBy("o", "doc_id").limit(sample) for y in (True, False)]
     ids = chosen[0].unionByName(chosen[1]).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic")
 
 
 def _piece_counts(rows: DataFrame) -> DataFrame:

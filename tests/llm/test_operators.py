@@ -540,6 +540,15 @@ def test_toxic_end_of_a_text_without_blanks(spark, tmp_path, between):
     assert sorted(r["doc_id"] for r in toxicity.without_toxic(docs, model).collect()) == list(range(0, 120, 2))
 
 
+def test_a_repeated_id_is_one_row_of_the_sample(spark):
+    rows = [(i, f"text {i}") for i in range(40)] + [(1, "text 1")] * 300 + [(2, f"other {i}") for i in range(300)] + [(3, None)] * 5
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string"), labels, 5, 5, 0).collect()
+    assert Counter(r["toxic"] for r in got) == {0: 5, 1: 5}
+    got = toxicity.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string"), labels, 100, 5, 0).collect()
+    assert len(got) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(40))
+
+
 def test_counterfactual_penalty_frees_group_names():
     """Toxic rows mention a group, clean ones do not: with the penalty the name alone does not condemn."""
     name, other, slur, plain = 0, 1, 2, 3
