@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import collision_ann, line_dedup, lm_score, mixing, ngram_join, packing, sentence_spans, topk, toxicity, url_filter
+from . import chat_template, collision_ann, collocations, line_dedup, lm_score, mixing, ngram_join, packing, reply_trees, sentence_spans, topk, toxicity, url_filter, whitening
 from .shared import documents
 
 WEIGHTS = [1, 2, 3]
@@ -68,6 +68,21 @@ def op10_substring_dedup(spark, sf_dir):
     return sentence_spans.remove_repeats(documents(spark, sf_dir))
 
 
+def op11_reply_trees(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], rows.schema)
+    out = reply_trees.read_back(reply_trees.formatted(reply_trees.threads(rows.unionByName(probe))))
+    return out.withColumnRenamed("tree", "conv_id").drop("path")
+
+
+def op12_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrase_collocations(spark, sf_dir):
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -75,7 +90,8 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_mix_sources, op3_ngram_jaccard_join, op4_url_filters, op5_packing, op6_approximate_neighbours,
-                                   op7_lm_scoring, op8_toxicity, op9_line_dedup, op10_substring_dedup, pipeline)}
+                                   op7_lm_scoring, op8_toxicity, op9_line_dedup, op10_substring_dedup, op11_reply_trees, op12_embedding_whitening,
+                                   op13_phrase_collocations, pipeline)}
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -157,3 +173,35 @@ SELECT d.doc_id, coalesce(x.n, 0) AS n_lines, coalesce(y.n, 0) AS n_removed, coa
 FROM documents AS d LEFT JOIN (SELECT doc_id, count(*) AS n FROM m GROUP BY doc_id) AS x ON x.doc_id = d.doc_id
 LEFT JOIN (SELECT doc_id, CAST(sum(last - first + 1) AS BIGINT) AS n, string_agg(first || '-' || last, ',' ORDER BY first) AS runs FROM cuts GROUP BY doc_id) AS y ON y.doc_id = d.doc_id
 LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+_NAMES = chat_template.NAMES
+_ESCAPED = rf"regexp_replace({{0}}, '([<\[])(\\*){_NAMES}', '\1\\\2\3', 'g')"
+_KEY = "turn NULLS LAST, role, md5(text)"
+SQL["op11_reply_trees"] = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) AS t),
+f AS (SELECT *, length({_ESCAPED.format('text')}) + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 9
+    ELSE 19 + length({_ESCAPED.format('role')}) END AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY {_KEY})) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY {_KEY}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(chars) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id"""
+
+SQL["op13_phrase_collocations"] = r"""
+WITH p AS (SELECT lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, text FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (
+  SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS t(k) WHERE len(ws) >= k)),
+n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cut AS (SELECT c.lang, c.phrase, a, i, x.f AS l, y.f AS r, CAST((2000000 * CAST(a AS HUGEINT)) // (x.f + y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS i FROM c) AS c
+  JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:i], ' ') JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(ws[i + 1:], ' ')),
+s AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+inside AS (SELECT lang, sub, max(a) AS most FROM (SELECT lang, a, array_to_string(ws[i:i + m - 1], ' ') AS sub FROM (
+  SELECT *, unnest(range(1, k - m + 2)) AS i FROM c, (VALUES (2), (3)) AS t(m) WHERE m < k)) GROUP BY ALL),
+kept AS (SELECT s.* FROM s LEFT JOIN inside ON s.lang = inside.lang AND s.phrase = sub WHERE most IS NULL OR 100 * CAST(most AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) AS k JOIN n USING (lang) WHERE rank <= 2000"""
