@@ -30,25 +30,26 @@ SPANS = ArrayType(StructType().add("start", "long").add("end", "long"))
 
 
 def jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Stored jump tables (node, up), the i-th with the ancestors 2^i steps up, and (node, root, hops,
-    total) of every message: its root, the length and the score of the path to it.
+    """Jump tables (node, up), the i-th with the ancestors 2^i steps up of the messages that have one,
+    and (node, root, hops, total) of every message: its root, the length and the score of the path to it.
 
     A parent that is no message makes its child a root. Messages whose parents run in a
     circle have no root and are left out.
     """
-    known = messages.select(F.col("node").alias("up")).distinct().withColumn("there", F.lit(True))
     links = messages.select("node", F.col("parent").alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"))
-    links = links.join(known, "up", "left").select("node", F.when(F.col("there"), F.col("up")).alias("up"), "total")
-    now = stored(links.select("node", "up", F.when(F.col("up").isNull(), F.col("node")).alias("root"), F.lit(1).cast("long").alias("hops"), "total"))
-    levels, (n, left) = [], now.agg(F.count("*"), F.count("up")).first()
-    while left and 2 ** len(levels) <= n:
-        levels.append(now)
-        further = now.select(F.col("node").alias("up"), F.struct(F.col("up").alias("up"), "root", "hops", "total").alias("b"))
-        now = stored(now.join(further, "up", "left").select(
-            "node", F.col("b.up").alias("up"), F.coalesce("root", "b.root").alias("root"),
-            (F.col("hops") + F.coalesce("b.hops", F.lit(0))).alias("hops"), (F.col("total") + F.coalesce("b.total", F.lit(0.0))).alias("total")))
-        left = now.select(F.count("up")).first()[0]
-    return levels, now
+    known = messages.select(F.col("node").alias("up")).where("up is not null").distinct()
+    child = links.where("up is not null")
+    start = child.join(known, "up", "left_semi").select("node", "up", F.lit(None).cast("long").alias("root"), F.lit(1).cast("long").alias("hops"), "total")
+    ends = links.where("up is null").unionByName(child.join(known, "up", "left_anti")).select("node", F.col("node").alias("root"), F.lit(1).cast("long").alias("hops"), "total")
+    open_, ended, n, levels = stored(start), stored(ends), messages.count(), []
+    while 2 ** len(levels) <= n and open_.take(1):
+        levels.append(open_)
+        at = open_.unionByName(ended, allowMissingColumns=True).select(F.col("node").alias("up"), F.struct(F.col("up").alias("up"), "root", "hops", "total").alias("b"))
+        further = stored(open_.join(at, "up").select(
+            "node", F.col("b.up").alias("up"), F.col("b.root").alias("root"), (F.col("hops") + F.col("b.hops")).alias("hops"), (F.col("total") + F.col("b.total")).alias("total")))
+        open_ = further.where("up is not null")
+        ended = ended.unionByName(further.where("up is null").drop("up"))
+    return levels, ended
 
 
 def best_paths(messages: DataFrame, best: int = 1) -> DataFrame:
@@ -59,16 +60,14 @@ def best_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     """
     levels, ends = jumps(messages)
     parents = messages.select(F.col("parent").alias("node")).where("node is not null").distinct()
-    leaves = messages.select("node", F.struct("tree").alias("tree")).join(parents, "node", "left_anti").join(ends.where("root is not null"), "node")
+    leaves = messages.select("node", F.struct("tree").alias("tree")).join(parents, "node", "left_anti").join(ends, "node")
     order = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("hops"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
     members = stored(chosen.select(F.col("node").alias("path"), "tree", "rank", F.col("total").alias("score"), (F.col("hops") - 1).alias("pos"), "node"))
     for i in reversed(range(len(levels))):
-        up = levels[i].where("up is not null").select("node", "up")
-        further = members.join(up, "node").select("path", "tree", "rank", "score", (F.col("pos") - 2**i).alias("pos"), F.col("up").alias("node"))
+        further = members.join(levels[i].select("node", "up"), "node").select("path", "tree", "rank", "score", (F.col("pos") - 2**i).alias("pos"), F.col("up").alias("node"))
         new = stored(members.unionByName(further))
-        for old in (members, levels[i]):
-            forget(old)
+        forget(members)
         members = new
     return members.select("path", "tree.tree", "rank", "score", "pos", "node")
 
