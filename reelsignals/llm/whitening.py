@@ -11,6 +11,7 @@ are multiplied from the right to project all rows, and the same product checks t
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
@@ -19,7 +20,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import forget, stored
+from .shared import stored
 
 ROWS = 1024
 BLOCKS = 16
@@ -27,30 +28,33 @@ LONG = 2**63
 
 
 def whole_rows(table: DataFrame, factor: int, shift: int) -> DataFrame:
-    """(vec_id, x: array<long>, place) of vectors that hold only finite components, of the commonest
-    length (ties to the longer one); place is the row's number in the scan."""
+    """(vec_id, x: array<long>) of vectors that hold only finite components, of the commonest length (ties to the longer one)."""
     v = F.col("embedding").cast("array<double>")
     good = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = table.select("vec_id", v.alias("v"), F.monotonically_increasing_id().alias("place")).where(F.size("v") > 0).where(good)
+    rows = table.select("vec_id", v.alias("v")).where(F.size("v") > 0).where(good)
     common = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     rows = rows.where(F.size("v") == (common["dim"] if common else 0))
-    return rows.select("vec_id", F.transform("v", lambda c: F.floor(c * factor).cast("long") + shift).alias("x"), "place")
+    return rows.select("vec_id", F.transform("v", lambda c: F.floor(c * factor).cast("long") + shift).alias("x"))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` with a dense row number ``at`` from 0: one count per partition of the scan is summed."""
-    rows = rows.withColumn("part", F.shiftright("place", 33))
+    """``rows``, written, with a dense row number ``at`` from 0: the place in the written part after the counts of the parts before."""
+    rows = stored(rows.withColumn("place", F.monotonically_increasing_id())).withColumn("part", F.shiftright("place", 33))
     counts = rows.groupBy("part").count()
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy("place"))
-    return rows.join(starts, "part").withColumn("at", F.col("start") + own - 1).drop("part", "start", "place")
+    return rows.join(starts, "part").withColumn("at", F.col("start") + F.col("place").bitwiseAND(2**33 - 1)).drop("part", "start", "place")
 
 
 def block_matrix(rows: DataFrame, column: str, dim: int) -> BlockMatrix:
     """The distributed blocks of the array column, by the row number ``at``."""
     vectors = rows.select(F.col("at").alias("index"), array_to_vector(column).alias("vector"))
-    return IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vector")).toBlockMatrix(ROWS, dim)
+    return IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vector")).toBlockMatrix(ROWS, dim).persist(StorageLevel.DISK_ONLY)
+
+
+def dropped(blocks: BlockMatrix) -> None:
+    """Give back the disk of a ``block_matrix``."""
+    blocks._java_matrix_wrapper._java_model.blocks().unpersist(False)
 
 
 def scatter(blocks: BlockMatrix, n: int) -> np.ndarray:
@@ -94,7 +98,7 @@ def whiten(table: DataFrame, components: int = 8, factor: int = 1024, shift: int
     if first is None:
         return spark.createDataFrame([], kind)
     dim = len(first["x"])
-    rows = stored(numbered(raw))
+    rows = numbered(raw)
     n, stats = sums(rows, "x", dim)
     total = F.array(*[F.lit(s[0]).cast("long") for s in stats])
     off = F.zip_with("x", total, lambda x, s: x * n - s)
@@ -114,10 +118,13 @@ def whiten(table: DataFrame, components: int = 8, factor: int = 1024, shift: int
         z = stored(projected(spark, blocks, vectors[:, :alive] / np.sqrt(values[:alive])))
         means = [s[0] / n for s in sums(z, "z", alive)[1]]
         again = z.select("at", F.zip_with("z", F.array(*map(F.lit, means)), lambda a, m: a - m).alias("c"))
-        error = float(np.abs(scatter(block_matrix(again, "c", alive), n) / n - np.eye(alive)).max())
+        checked = block_matrix(again, "c", alive)
+        error = float(np.abs(scatter(checked, n) / n - np.eye(alive)).max())
+        dropped(checked)
         rows = rows.join(z, "at")
     else:
         rows = rows.withColumn("z", F.array().cast("array<double>"))
+    dropped(blocks)
     trace = float(values.sum())
     share = [float(v) / trace if alive else None for v in values[:k]]
     each = F.transform(F.array(*[F.lit(v).cast("double") for v in share]), lambda e, i: F.struct((i + 1).alias("component"), F.get("z", i).alias("whitened"), e.alias("explained")))
