@@ -10,8 +10,9 @@ cycle and then rests, so its count is exact. Steps end when no phrase is active.
 What a step has learned goes to the tasks as one blocked Bloom filter per step, of a size with a
 fixed bound. The step that knows a phrase is the first filter that seems to hold it; filters never change,
 so a false hit only lets a phrase be counted from an earlier step on, for the same full cycle, and no
-count is lost. Counts are keyed by the phrase itself. A block counts by array sorts on
-its own word numbers, so only distinct phrases of a block are turned into text and shuffled.
+count is lost. Running counts are kept by a 64-bit key of the phrase, packed by ranges of the key: a
+block counts by array sorts, and Spark shuffles and merges packed ranges. Two phrases may share a key, which
+can only overstate a count; so a last scan counts the few survivors by their text, and these counts are the result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -36,6 +38,8 @@ BLOCK_TOKENS = 1 << 19
 SLICE = 1 << 20
 DICTIONARY_BYTES = 1 << 24
 NEVER = 1 << 14
+LEAST_RANGES = 64
+RANGE_TOKENS = 1 << 20
 MOST_BLOCKS = 1 << 17  # of 64 bytes: no filter exceeds 8 MB
 ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -91,10 +95,13 @@ class _Block:
         ids = np.concatenate(self.parts)
         owner = np.array(self.owner, np.int32)
         sizes = np.bincount(owner[ids[ids >= 0]], minlength=len(self.langs)) if len(owner) else np.zeros(len(self.langs), np.int64)
-        return {"shard": shard, "langs": self.langs, "sizes": sizes.tolist(), "words": self.words, "owner": owner.tobytes(), "ids": ids.tobytes()}
+        self.numbers.clear()  # they refer back to the block
+        words = pa.array([w.decode() for w in self.words], pa.string())
+        hashes = mix(single_hashes(words) + lang_hash(self.langs)[owner]) if len(owner) else np.zeros(0, np.uint64)
+        return {"shard": shard, "langs": self.langs, "sizes": sizes.tolist(), "words": words.to_pylist(), "owner": owner.tobytes(), "hashes": hashes.tobytes(), "ids": ids.tobytes()}
 
 
-BLOCKS = pa.schema([("shard", pa.int32()), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("words", pa.list_(pa.string())), ("owner", pa.binary()), ("ids", pa.binary())])
+BLOCKS = pa.schema([("shard", pa.int32()), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("words", pa.list_(pa.string())), ("owner", pa.binary()), ("hashes", pa.binary()), ("ids", pa.binary())])
 
 
 def word_blocks(docs: DataFrame, shards: int, tokens: int) -> DataFrame:
@@ -117,7 +124,7 @@ def word_blocks(docs: DataFrame, shards: int, tokens: int) -> DataFrame:
             yield full()
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where(F.length("text") > 0)
-    return rows.mapInArrow(run, "shard int, langs array<string>, sizes array<bigint>, words array<string>, owner binary, ids binary")
+    return rows.mapInArrow(run, "shard int, langs array<string>, sizes array<bigint>, words array<string>, owner binary, hashes binary, ids binary")
 
 
 @cache
@@ -167,28 +174,25 @@ class Known:
         return out
 
 
-def count_block(row: dict, step: int, known: Known, shards: int, longest: int, window: int = 2 * BLOCK_TOKENS) -> Iterator[tuple]:
-    """(start, lang numbers, word numbers per position, counts) of the phrases active in this block.
+def count_block(ids, hashes, known: Known, longest: int, all_known: bool, window: int = 2 * BLOCK_TOKENS) -> Iterator[tuple]:
+    """(keys, begin, held, word numbers per position, counts) of the words, and of the longer phrases whose
+    subphrases are known: begin is the step that knows both, held the one that knows the phrase itself (of
+    the longest phrases only if ``all_known``).
 
     A long block is counted in windows of phrase starts; a window sees the words behind it that its last phrases need.
     """
-    ids = np.frombuffer(row["ids"], np.int32)
-    owner = np.frombuffer(row["owner"], np.int32)
-    hashes = mix(single_hashes(row["words"]) + lang_hash(row["langs"])[owner])
-    if step < shards:
-        counts = np.bincount(ids[ids >= 0], minlength=len(owner))
-        yield np.zeros(len(owner), np.int16), owner, [np.arange(len(owner))], counts
+    held = known.since(hashes)
+    yield hashes, np.zeros(len(hashes), np.int16), held, [np.arange(len(hashes))], np.bincount(ids[ids >= 0], minlength=len(hashes))
     if known.filters:
-        word_since = known.since(hashes)
         for low in range(0, len(ids), window):
-            yield from _grown(ids[low : low + window + longest - 1].astype(np.int64), window, owner, hashes, word_since, step, known, shards, longest)
+            yield from _grown(ids[low : low + window + longest - 1].astype(np.int64), window, hashes, held, known, longest, all_known)
 
 
-def _grown(ids, window, owner, hashes, word_since, step, known, shards, longest) -> Iterator[tuple]:
-    """Active phrases of two words and more. ``at`` holds the starts of the phrases of the last length,
-    ``since`` when each is known, ``code`` its number among them, ``keys`` and ``columns`` hash and words by number."""
+def _grown(ids, window, hashes, word_since, known, longest, all_known) -> Iterator[tuple]:
+    """Phrases of two words and more. ``at`` holds the starts of the phrases of the last length, ``since``
+    when each is known, ``code`` its number among them; ``keys`` and ``columns`` hold key and words by number."""
     at, since, code = np.arange(len(ids)), np.where(ids >= 0, word_since[ids], NEVER), ids
-    keys, columns = hashes, [np.arange(len(owner))]
+    keys, columns = hashes, [np.arange(len(hashes))]
     for length in range(2, longest + 1):
         grows = np.flatnonzero((at[1:] == at[:-1] + 1) & (since[1:] < NEVER) & (since[:-1] < NEVER))
         if not len(grows):
@@ -201,74 +205,120 @@ def _grown(ids, window, owner, hashes, word_since, step, known, shards, longest)
         prefix, word = pair >> 32, pair & 0xFFFFFFFF
         columns = [c[prefix] for c in columns] + [word]
         keys = lengthened(keys[prefix], hashes[word])
-        active = (begin <= step) & (step < begin + shards) & (counts > 0)
-        yield begin[active], owner[columns[0][active]], [c[active] for c in columns], counts[active]
+        held = known.since(keys) if all_known or length < longest else None
+        yield keys, begin, held, columns, counts
         if length < longest:
-            since = known.since(keys)[code]
+            since = held[code]
 
 
-def active_counts(blocks: DataFrame, step: int, filters: list, shards: int, longest: int) -> DataFrame:
-    """(lang, phrase, len, start, c): counts of the active phrases, block by block."""
+RANGE = "p long, keys binary, counts binary, tags binary, since binary"
+
+
+def active_counts(blocks: DataFrame, step: int, filters: list, shards: int, longest: int, ranges: int) -> DataFrame:
+    """The counts of the active phrases of each block, packed by key range. A tag is 8 * start + length."""
     shared = blocks.sparkSession.sparkContext.broadcast(Known(filters))
-    names = ["lang", "phrase", "len", "start", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                words, langs = b["words"][i].values, b["langs"][i].values
-                row = {"words": words, "langs": langs.to_pylist(), "owner": b["owner"][i].as_py(), "ids": b["ids"][i].as_py()}
-                for start, lang, columns, counts in count_block(row, step, shared.value, shards, longest):
-                    for low in range(0, len(counts), 1 << 16):
-                        part = slice(low, low + (1 << 16))
-                        each = [words.take(pa.array(c[part])) for c in columns]
-                        phrase = pc.binary_join_element_wise(*each, " ") if len(each) > 1 else each[0]
-                        n = len(phrase)
-                        yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[part])), phrase, pa.array(np.full(n, len(each), np.int32)), pa.array(start[part].astype(np.int32)), pa.array(counts[part].astype(np.int64))], names)
-
-    return blocks.select("langs", "words", "owner", "ids").mapInArrow(run, "lang string, phrase string, len int, start int, c long")
-
-
-def filter_of(phrases: DataFrame, n: int) -> BlockedBloom:
-    """A filter over (lang, phrase) of about 16 bits a phrase, up to ``MOST_BLOCKS`` blocks."""
+            for ids, hashes in zip(b["ids"], b["hashes"]):
+                keys, tags, counts = [], [], []
+                for key, begin, _, columns, count in count_block(np.frombuffer(ids.as_buffer(), np.int32), np.frombuffer(hashes.as_buffer(), np.uint64), shared.value, longest, False):
+                    active = np.flatnonzero((begin <= step) & (step < begin + shards) & (count > 0))
+                    keys.append(key[active])
+                    tags.append((8 * begin[active] + len(columns)).astype(np.int16))
+                    counts.append(count[active].astype(np.int32))
+                keys, tags, counts = np.concatenate(keys), np.concatenate(tags), np.concatenate(counts)
+                p = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+                order = np.argsort(p, kind="stable")
+                keys, tags, counts = keys[order], tags[order], counts[order]
+                some, first = np.unique(p[order], return_index=True)
+                ends = np.append(first[1:], len(keys))
+                pack = lambda a: pa.array([a[x:y].tobytes() for x, y in zip(first, ends)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pack(keys), pack(counts.astype(np.int64)), pack(tags), pa.nulls(len(some), pa.binary())], ["p", "keys", "counts", "tags", "since"])
+
+    return blocks.select("ids", "hashes").mapInArrow(run, RANGE)
+
+
+def merge_ranges(step: int, shards: int, least: int, longest: int):
+    """The merge of one key range after ``step`` steps: counts are summed, phrases that reach ``least`` are
+    known from this step on, those that rest below it go."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64)
+        counts = np.frombuffer(b"".join(pdf["counts"]), np.int64)
+        tags = np.frombuffer(b"".join(pdf["tags"]), np.int16)
+        since = np.concatenate([np.full(len(k) // 8, NEVER, np.int16) if s is None else np.frombuffer(s, np.int16) for k, s in zip(pdf["keys"], pdf["since"])])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        if not len(first):
+            return pd.DataFrame(columns=["p", "keys", "counts", "tags", "since", "fresh"])
+        keys, counts = keys[first], np.add.reduceat(counts[order], first)
+        tags, since = np.maximum.reduceat(tags[order], first), np.minimum.reduceat(since[order], first)
+        since[(since == NEVER) & (counts >= least)] = step
+        kept = (since < NEVER) | ((tags >> 3) + shards > step)
+        fresh = keys[(since == step) & ((tags & 7) < longest)]
+        out = [a[kept].tobytes() for a in (keys, counts, tags, since)]
+        return pd.DataFrame([[pdf["p"].iloc[0], *out, fresh.tobytes()]], columns=["p", "keys", "counts", "tags", "since", "fresh"])
+
+    return run
+
+
+def filter_of(ranges: DataFrame, column: str) -> BlockedBloom | None:
+    """A filter over packed keys of about 16 bits a key, up to ``MOST_BLOCKS`` blocks; None without keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                hashes, bounds = word_hashes(b["phrase"], lower=False)
-                owner = np.repeat(np.arange(b.num_rows), np.diff(bounds))
-                hashes = mix(hashes + lang_hash(b["lang"].to_pylist())[owner])
-                length = np.diff(bounds)
-                keys = hashes[bounds[:-1]]
-                for i in range(1, int(length.max())):
-                    more = np.flatnonzero(length > i)
-                    keys[more] = lengthened(keys[more], hashes[bounds[more] + i])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+            for keys in b[column]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys.as_buffer(), np.int64))], ["key"])
 
-    blocks = min(MOST_BLOCKS, max(SEGMENTS, -(-n * 16 // BLOCK_BITS // SEGMENTS) * SEGMENTS))
-    return build(phrases.select("lang", "phrase").mapInArrow(run, "key long"), "key", blocks)
+    n = ranges.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    blocks = min(MOST_BLOCKS, max(SEGMENTS, -(-n * 2 // BLOCK_BITS // SEGMENTS) * SEGMENTS))
+    return build(ranges.select(column).mapInArrow(run, "key long"), "key", blocks) if n else None
 
 
-def frequent_phrases(blocks: DataFrame, least: int, shards: int = SHARDS, longest: int = LONGEST) -> DataFrame:
-    """(lang, phrase, len, f) of all phrases of up to ``longest`` words with f >= ``least``, by dynamic counting."""
+def survivors(blocks: DataFrame, least: int, shards: int, longest: int, ranges: int) -> BlockedBloom | None:
+    """A filter that holds every phrase of up to ``longest`` words with ``least`` occurrences, by dynamic counting."""
     filters: list[tuple[int, BlockedBloom]] = []
     running, step, last = None, 0, 0
     while step < last + shards:
-        counts = active_counts(blocks.where(F.col("shard") == step % shards), step, filters, shards, longest)
-        parts = counts.groupBy("lang", "phrase", "len", "start").agg(F.sum("c").alias("c")).withColumn("since", F.lit(None).cast("int"))
+        parts = active_counts(blocks.where(F.col("shard") == step % shards), step, filters, shards, longest, ranges)
         if running is not None:
-            parts = parts.unionByName(running).groupBy("lang", "phrase", "len", "start").agg(F.sum("c").alias("c"), F.min("since").alias("since"))
+            parts = parts.unionByName(running.drop("fresh"))
         step += 1
-        since = F.coalesce("since", F.when(F.col("c") >= least, step))
-        new = stored(parts.withColumn("since", since).where(F.col("since").isNotNull() | (F.col("start") + shards > step)))
+        new = stored(parts.groupBy("p").applyInPandas(merge_ranges(step, shards, least, longest), RANGE + ", fresh binary"))
         if running is not None:
             forget(running)
         running = new
-        fresh = running.where((F.col("since") == step) & (F.col("len") < longest))
-        n = fresh.count()
-        if n:
-            filters.append((step, filter_of(fresh, n)))
+        known = filter_of(running, "fresh")
+        if known is not None:
+            filters.append((step, known))
             last = step
-    return running.select("lang", "phrase", "len", F.col("c").alias("f"))
+    out = filter_of(running, "keys")
+    forget(running)
+    return out
+
+
+def frequent_phrases(blocks: DataFrame, least: int, shards: int = SHARDS, longest: int = LONGEST) -> DataFrame:
+    """(lang, phrase, len, f) of all phrases of up to ``longest`` words with f >= ``least``."""
+    tokens = blocks.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    kept = survivors(blocks, least, shards, longest, max(LEAST_RANGES, tokens // 4 // RANGE_TOKENS))
+    shared = blocks.sparkSession.sparkContext.broadcast(Known([] if kept is None else [(1, kept)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                words, langs = b["words"][i].values, b["langs"][i].values
+                owner = np.frombuffer(b["owner"][i].as_buffer(), np.int32)
+                ids, hashes = np.frombuffer(b["ids"][i].as_buffer(), np.int32), np.frombuffer(b["hashes"][i].as_buffer(), np.uint64)
+                for _, _, held, columns, counts in count_block(ids, hashes, shared.value, longest, True):
+                    some = np.flatnonzero((held < NEVER) & (counts > 0))
+                    each = [words.take(pa.array(c[some])) for c in columns]
+                    phrase = pc.binary_join_element_wise(*each, " ") if len(each) > 1 else each[0]
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(owner[columns[0][some]])), phrase, pa.array(np.full(len(some), len(each), np.int32)), pa.array(counts[some].astype(np.int64))], ["lang", "phrase", "len", "c"])
+
+    counted = blocks.select("langs", "words", "owner", "ids", "hashes").mapInArrow(run, "lang string, phrase string, len int, c long")
+    return stored(counted.groupBy("lang", "phrase", "len").agg(F.sum("c").alias("f")).where(F.col("f") >= least))
 
 
 def collocations(docs: DataFrame, least: int = 30, top: int = 2000, covered: int = 80, shards: int = SHARDS, longest: int = LONGEST, block_tokens: int = BLOCK_TOKENS) -> DataFrame:

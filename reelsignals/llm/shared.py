@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_root
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``. Only a local master may do without."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    root = tempfile.mkdtemp(prefix="reelsignals-llm-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return checkpoint_root(spark)
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -41,7 +41,8 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = ".,;:!?\"'()[]{}<>*#&%$|-_"
 SAMPLE = 8192
 PIECES = 4096
-CACHE = 500_000
+CACHE = 100_000
+TALLIES = 200_000
 LONG = 64
 
 
@@ -88,27 +89,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, folds: int,
 
 
 def _piece_counts(rows: DataFrame) -> DataFrame:
-    """(piece, toxic documents, other documents) over the sample, counted per task first."""
+    """(piece, toxic documents, other documents) over the sample, counted per task first in tallies of about ``TALLIES`` pieces."""
 
     def run(batches):
-        tallies, known = (Counter(), Counter()), {}
+        tallies = Counter(), Counter()
+
+        def tallied():
+            names = list(tallies[0].keys() | tallies[1].keys())
+            for i in range(0, len(names), 50_000):
+                part = names[i : i + 50_000]
+                yield pd.DataFrame({"piece": part, "toxic": [tallies[1][p] for p in part], "other": [tallies[0][p] for p in part]})
+            for t in tallies:
+                t.clear()
+
         for b in batches:
             for text, toxic in zip(b["text"], b["toxic"]):
                 own: set[str] = set()
                 for w in words_of(text):
-                    if len(w) > LONG:
-                        own.update(pieces(w))
-                        continue
-                    if w not in known:
-                        if len(known) >= CACHE:
-                            known.clear()
-                        known[w] = set(pieces(w))
-                    own |= known[w]
+                    own.update(pieces(w))
                 tallies[toxic].update(own)
-        names = list(tallies[0].keys() | tallies[1].keys())
-        for i in range(0, len(names), 50_000):
-            part = names[i : i + 50_000]
-            yield pd.DataFrame({"piece": part, "toxic": [tallies[1][p] for p in part], "other": [tallies[0][p] for p in part]})
+                if len(tallies[0]) + len(tallies[1]) > TALLIES:
+                    yield from tallied()
+        yield from tallied()
 
     return rows.mapInPandas(run, "piece string, toxic long, other long").groupBy("piece").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
