@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def local_session(app: str = "reelsignals", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benches; clusters bring their own."""
     return (
@@ -31,7 +34,7 @@ def local_session(app: str = "reelsignals", cores: str = "*", shuffle_partitions
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local run) a temporary folder is set.
+    Only where the session names none (a local run) a temporary folder serves, one per application.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
@@ -39,8 +42,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="reelsignals-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _LOCAL.get(app) or _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="reelsignals-ckpt-"))
     return root
 
 
