@@ -103,11 +103,11 @@ def active_line(frames: DataFrame, lines: DataFrame, key: str = "media_id", npo_
     """First line on screen at each time ``t`` and the index of its active word, if any."""
     at = F.col("t") - F.lit(npo_ms / 1000.0)
     l = lines.select(key, "line_idx", F.col("start").alias("l_start"), F.col("end").alias("l_end"), F.col("text").alias("line_text"), "words")
-    d = I.point_join(frames.withColumn("__at", at), l, [key], F.col("__at"), (F.col("l_start"), F.col("l_end")),
+    d = I.point_join(I.numbered(frames).withColumn("__at", at), l, [key], F.col("__at"), (F.col("l_start"), F.col("l_end")),
                      F.col("__at").between(F.col("l_start"), F.col("l_end")), width)
     word = F.array_position(F.transform("words", lambda w: F.col("__at").between(w["start"], w["end"])), F.lit(True)) - 1
     pick = F.struct("line_idx", "line_text", F.nullif(word, F.lit(-1)).alias("word_pos"))
-    g = d.withColumn("__p", pick).groupBy(*frames.columns).agg(F.min("__p").alias("p"))
+    g = d.withColumn("__p", pick).groupBy(I.ROW).agg(*[F.first(c).alias(c) for c in frames.columns], F.min("__p").alias("p"))
     return g.select(*frames.columns, "p.*")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import folds
 from . import ordered as O
 
 
@@ -58,18 +59,16 @@ def overlap_clusters(spans: DataFrame, key: str, start: str, end: str, tie: str,
 def best_moments(moments: DataFrame, key: str = "media_id") -> DataFrame:
     """Greedy pick by score of moments that do not overlap.
 
-    Picks in different overlap clusters cannot affect each other, so the fold runs
-    per cluster and not per media item.
+    Picks in different overlap clusters cannot affect each other, so every cluster is a fold of its own. Its
+    moments stream by in order of score; the state is the sorted list of picks, which are disjoint,
+    so that a moment is tested by one binary search and no cluster is gathered.
     """
     d = overlap_clusters(moments, key, "start_time", "end_time", "moment_idx")
-    item = F.struct((-F.col("viral_score")).alias("o"), "moment_idx", "start_time", "end_time", "viral_score")
-    g = d.groupBy(key, "cluster").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kept = F.aggregate(
-        "items", F.filter("items", lambda x: F.lit(False)),
-        lambda acc, x: F.when(
-            F.exists(acc, lambda y: (x["start_time"] < y["end_time"]) & (y["start_time"] < x["end_time"])), acc
-        ).otherwise(F.concat(acc, F.array(x))))
-    return g.select(key, F.explode(kept).alias("m")).select(key, "m.moment_idx", "m.start_time", "m.end_time", "m.viral_score")
+    kinds = {f.name: f.dataType.simpleString() for f in d.schema}
+    names = [key, "cluster", "moment_idx", "start_time", "end_time", "viral_score"]
+    d = d.select(*names, (-F.col("viral_score")).alias("falling"))
+    picks = folds.sorted_fold(d, [key, "cluster"], ["falling", "moment_idx"], folds.DisjointPicks, ", ".join(f"{n} {kinds[n]}" for n in names))
+    return picks.drop("cluster")
 
 
 def frames_needed(spans: DataFrame, frames: DataFrame, fps: float = 30.0, pad: int = 150, key: str = "media_id") -> DataFrame:

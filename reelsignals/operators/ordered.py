@@ -13,6 +13,7 @@ window that follows it share one exchange of the rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -94,6 +95,36 @@ def running_sum(
     return d.withColumn(out, total).drop(CHUNK, "__off", "__v", "__t")
 
 
+def exponential_means(
+    df: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, Column], alpha: float, chunk: Column | None = None,
+    chunk_rows: int | None = None,
+) -> DataFrame:
+    """s = alpha * x + (1 - alpha) * s along each key, started at the first x, without a loop.
+
+    A step is the affine map s -> r * s + b. A run of steps is one too: its offset is a sum of weighted x, which
+    a window gives inside a chunk, and chunks are composed by their offsets alone where r to the power of the
+    chunk's length is nothing in double precision; a chunk is as long as the weights allow, or ``chunk_rows``
+    with up to eight chunks composed. Values differ
+    from those of the loop by rounding only.
+    """
+    r = 1.0 - alpha
+    falls = -math.log10(r)
+    rows = max(chunk_rows or int(280 / falls), math.ceil(5 / falls), 2)
+    d = number_rows(df, keys, [order], "__n", chunk=dense_chunk(order) if chunk is None else chunk)
+    d = d.withColumn(CHUNK, F.floor(F.col("__n") / rows).cast("bigint")).withColumn("__i", F.col("__n") % rows)
+    up, down = F.pow(F.lit(1.0 / r), F.col("__i")), F.pow(F.lit(r), F.col("__i"))
+    offset = lambda x: F.when(F.col("__n") == 0, x).otherwise(alpha * x) * up
+    summary = {f"__t_{n}": F.sum(offset(x)) * F.pow(F.lit(r), F.max("__i")) for n, x in values.items()}
+    steps = math.ceil(40 / (falls * rows))
+    # the state behind a chunk: its own offset and those of the chunks before that still count
+    behind = lambda n, w: sum((F.lag(f"__t_{n}", i + 1).over(w) if i == 0 else F.coalesce(F.lag(f"__t_{n}", i + 1).over(w) * r ** (rows * i), F.lit(0.0)) for i in range(steps)), F.lit(0.0))
+    d = with_carry(d, keys, summary, {f"__in_{n}": lambda w, n=n: F.coalesce(behind(n, w), F.lit(0.0)) for n in values})
+    w = chunk_window(["__i"]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for n, x in values.items():
+        d = d.withColumn(n, F.col(f"__in_{n}") * down * r + F.sum(offset(x)).over(w) * down)
+    return d.drop(CHUNK, "__n", "__i", *[f"__in_{n}" for n in values])
+
+
 def shifted(
     df: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, Column],
     chunk: Column | None = None, forward: bool = False,

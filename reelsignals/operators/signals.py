@@ -99,23 +99,31 @@ def rank_by_interest(stats: DataFrame, min_interest: float = 20.0) -> DataFrame:
     return stats.where(F.col("interest_7d") >= min_interest).orderBy(F.col("interest_7d").desc(), "keyword")
 
 
-KEY_LENGTH = 64
+GRAM = 3
 
 
 def flag_breakouts(signals: DataFrame, keywords: DataFrame) -> DataFrame:
     """Mark signals whose title holds any breakout keyword, ignoring case.
 
-    The substrings of each distinct title, up to ``KEY_LENGTH`` letters, are equi-joined with
-    the keywords' beginnings of that length; longer keywords are then compared in full.
+    Each distinct title gives one row per letter with the three letters from there on. A keyword is anchored at that one
+    of its three-letter pieces that is rarest in the titles; an equi-join on the anchor finds the titles that
+    can hold it, which are then compared in full. Keywords of one or two letters meet the beginnings of the pieces.
     """
     kws = keywords.select(F.lower("keyword").alias("kw")).where(F.length("kw") > 0).distinct()
-    kws = kws.withColumn("piece", F.substring("kw", 1, KEY_LENGTH))
     low = signals.select("title").distinct().select("title", F.lower("title").alias("low")).where(F.length("low") > 0)
-    starts = low.select("title", "low", F.explode(F.sequence(F.lit(1), F.length("low"))).alias("at"))
-    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(KEY_LENGTH), F.length("low") - F.col("at") + 1)))
-    pieces = starts.select("title", "low", "at", size.alias("n")).select("title", "low", F.substring("low", F.col("at"), F.col("n")).alias("piece"))
-    hits = pieces.join(kws, "piece").where(F.contains("low", F.col("kw"))).select("title").distinct()
-    return signals.join(hits.withColumn("__hit", F.lit(True)), "title", "left").withColumn(
+    piece = lambda text, at: F.substring(text, at, F.lit(GRAM))
+    grams = low.select("title", "low", F.explode(F.sequence(F.lit(1), F.length("low"))).alias("at")).select(
+        "title", "low", piece(F.col("low"), F.col("at")).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    steps = F.sequence(F.lit(1), F.length("kw") - (GRAM - 1))
+    parts = kws.where(F.length("kw") >= GRAM).select("kw", F.explode(steps).alias("at")).select("kw", piece(F.col("kw"), F.col("at")).alias("gram")).distinct()
+    ranked = parts.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    anchors = ranked.groupBy("kw").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    hits = grams.join(anchors, "gram").where(F.contains("low", F.col("kw"))).select("title")
+    for n in range(1, GRAM):
+        short = kws.where(F.length("kw") == n)
+        hits = hits.unionByName(grams.withColumn("kw", F.substring("gram", 1, n)).join(short, "kw").select("title"))
+    return signals.join(hits.distinct().withColumn("__hit", F.lit(True)), "title", "left").withColumn(
         "google_breakout", F.coalesce("__hit", F.lit(False))).drop("__hit")
 
 

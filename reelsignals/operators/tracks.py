@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import folds
 from . import ordered as O
+from .chunked import chunk_fold
 
 KEYS = ["media_id", "track_id"]
 
@@ -110,23 +111,28 @@ def look_ahead_start(spine: DataFrame, points: DataFrame, frame_w: int = 1920, f
     return d.withColumns({"init_x": F.coalesce("i.target_cx", F.lit(frame_w // 2)), "init_y": F.coalesce("i.target_cy", F.lit(frame_h // 2))}).drop("i")
 
 
-def smooth_boxes(points: DataFrame, frame_w: int = 1920, frame_h: int = 1080, **limits) -> DataFrame:
-    return folds.sorted_fold(points.select(*KEYS, "frame_idx", "cx", "cy", "w", "h"), KEYS, ["frame_idx"],
-                             lambda: folds.DeadZoneEma(frame_w, frame_h, **limits),
-                             "media_id bigint, track_id int, frame_idx int, cx int, cy int, w int, h int")
+def smooth_boxes(points: DataFrame, frame_w: int = 1920, frame_h: int = 1080, frames: int | None = None, **limits) -> DataFrame:
+    """Boxes smoothed along their track, a track's chunks of ``frames`` in parallel."""
+    return chunk_fold(points.select(*KEYS, "frame_idx", "cx", "cy", "w", "h"), KEYS, "frame_idx",
+                      lambda: folds.DeadZoneEma(frame_w, frame_h, **limits),
+                      "media_id bigint, track_id int, frame_idx int, cx int, cy int, w int, h int", frames)
 
 
-def smooth_centres(points: DataFrame, kalman: bool = False, fps: float = 30.0) -> DataFrame:
-    gains = folds.CentreKalman.gain_list(fps) if kalman else []
-    make = (lambda: folds.CentreKalman(gains)) if kalman else folds.PlainEma
-    return folds.sorted_fold(points.select(*KEYS, "frame_idx", "x1", "y1", "x2", "y2"), KEYS, ["frame_idx"], make,
-                             "media_id bigint, track_id int, frame_idx int, x int, y int")
+def smooth_centres(points: DataFrame, kalman: bool = False, fps: float = 30.0, alpha: float = 0.15, frames: int | None = None) -> DataFrame:
+    """Smoothed box centres per track: a Kalman filter, or exponential means in built-in expressions, whose whole
+    part is taken after rounding to nine decimals, so that no rounding noise lies beside a whole number."""
+    p = points.select(*KEYS, "frame_idx", "x1", "y1", "x2", "y2")
+    if kalman:
+        gains = folds.CentreKalman.gain_list(fps)
+        return chunk_fold(p, KEYS, "frame_idx", lambda: folds.CentreKalman(gains), "media_id bigint, track_id int, frame_idx int, x int, y int", frames)
+    d = O.exponential_means(p, KEYS, "frame_idx", {"sx": (F.col("x1") + F.col("x2")) / 2, "sy": (F.col("y1") + F.col("y2")) / 2}, alpha, chunk_rows=frames)
+    return d.select(*KEYS, "frame_idx", F.round("sx", 9).cast("int").alias("x"), F.round("sy", 9).cast("int").alias("y"))
 
 
-def dead_band(frames: DataFrame, frame_w: int = 1920, frame_h: int = 1080, pct: float = 0.05) -> DataFrame:
-    """Accepted target per frame; ``frames`` comes from :func:`look_ahead_start`."""
-    return folds.sorted_fold(frames.select("media_id", "frame_idx", "target_cx", "target_cy", "init_x", "init_y"), ["media_id"], ["frame_idx"],
-                             lambda: folds.DeadBand(frame_w, frame_h, pct), "media_id bigint, frame_idx int, x int, y int")
+def dead_band(frames: DataFrame, frame_w: int = 1920, frame_h: int = 1080, pct: float = 0.05, chunk: int | None = None) -> DataFrame:
+    """Accepted target per frame, chunks of a media item in parallel; ``frames`` comes from :func:`look_ahead_start`."""
+    return chunk_fold(frames.select("media_id", "frame_idx", "target_cx", "target_cy", "init_x", "init_y"), ["media_id"], "frame_idx",
+                      lambda: folds.DeadBand(frame_w, frame_h, pct), "media_id bigint, frame_idx int, x int, y int", chunk)
 
 
 CAMERA_KEYS = ["media_id", "scene"]
@@ -177,18 +183,9 @@ def boxes_by_frame(detections: DataFrame, lengths: DataFrame, frame_w: int = 192
 
 
 def target_lock(detections: DataFrame, lengths: DataFrame, fps: float = 30.0, hysteresis: float = 3.0, hold: float = 2.0,
-                frame_w: int = 1920, frame_h: int = 1080) -> DataFrame:
-    """Followed track per frame, for media items without any box as well.
-
-    After ``hold`` seconds without boxes nothing is remembered, so the frames are
-    split at such gaps and the stretches fold in parallel.
-    """
+                frame_w: int = 1920, frame_h: int = 1080, frames: int | None = None) -> DataFrame:
+    """Followed track per frame, for media items without any box as well. Chunks of ``frames`` of a media item
+    are folded in parallel."""
     d = boxes_by_frame(detections, lengths, frame_w, frame_h)
-    seen = F.when(F.size("ids") > 0, F.col("frame_idx"))
-    d = O.last_known(d, ["media_id"], "frame_idx", seen, "seen")
-    # a long gap ends in the frame whose boxes follow it; from the last frame of the wait on nothing is held
-    rest = F.col("frame_idx") - F.coalesce("seen", F.lit(-1)) == max(2, int(hold * fps)) + 1
-    d = O.running_sum(d, ["media_id"], "frame_idx", rest.cast("int"), "stretch")
-    return folds.sorted_fold(d.select("media_id", "stretch", "frame_idx", "ids", "scores"), ["media_id", "stretch"], ["frame_idx"],
-                             lambda: folds.TargetLock(fps, hysteresis, hold),
-                             "media_id bigint, stretch bigint, frame_idx int, state string, target int").drop("stretch")
+    return chunk_fold(d, ["media_id"], "frame_idx", lambda: folds.TargetLock(fps, hysteresis, hold),
+                      "media_id bigint, frame_idx int, state string, target int", frames)

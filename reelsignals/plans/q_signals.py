@@ -224,12 +224,18 @@ def _(spark, d):
     return s.select("keyword", "interest_7d", F.array_join("related_topics", "|").alias("related_topics"), "breakout")
 
 
-CTES["f_breakout_kw"] = "SELECT DISTINCT 'TOPIC ' || CAST(user_id % 40 AS VARCHAR) AS keyword FROM f_ev WHERE k = 99"
+CTES["f_breakout_kw"] = "SELECT DISTINCT 'TOPIC ' || CAST((k * k) % 40 AS VARCHAR) AS keyword FROM f_ev"
+CTES["f_short_kw"] = "SELECT DISTINCT CASE WHEN k < 90 THEN 'C ' || CAST(k AS VARCHAR) || ' V' ELSE CAST(k % 7 AS VARCHAR) || CASE WHEN k % 2 = 0 THEN 'p' ELSE '' END END AS keyword FROM f_ev"
 
 
 def _breakout_keywords(spark, d):
-    return X.events(spark, d).where("k = 99").select(
-        F.concat(F.lit("TOPIC "), (F.col("user_id") % 40).cast("string")).alias("keyword"))
+    return X.events(spark, d).select(F.concat(F.lit("TOPIC "), (F.col("k") * F.col("k") % 40).cast("string")).alias("keyword"))
+
+
+def _short_keywords(spark, d):
+    k = F.col("k")
+    short = F.concat((k % 7).cast("string"), F.when(k % 2 == 0, "p").otherwise(""))
+    return X.events(spark, d).select(F.when(k < 90, F.concat(F.lit("C "), k.cast("string"), F.lit(" V"))).otherwise(short).alias("keyword"))
 
 
 @query("j03_breakout_flag", """SELECT arrival_idx, title, EXISTS (SELECT 1 FROM f_breakout_kw WHERE contains(lower(title), lower(keyword))) AS google_breakout FROM f_signals""")
@@ -237,10 +243,9 @@ def _(spark, d):
     return T.flag_breakouts(X.signals(spark, d), _breakout_keywords(spark, d)).select("arrival_idx", "title", "google_breakout")
 
 
-@query("j03_breakout_flag_many_keywords", """SELECT arrival_idx, title, EXISTS (SELECT 1 FROM f_breakout_kw WHERE contains(lower(title), lower(keyword))) AS google_breakout FROM f_signals""")
+@query("j03_breakout_flag_short_keywords", """SELECT arrival_idx, title, EXISTS (SELECT 1 FROM f_short_kw WHERE contains(lower(title), lower(keyword))) AS google_breakout FROM f_signals""")
 def _(spark, d):
-    return T.flag_breakouts(X.signals(spark, d), _breakout_keywords(spark, d)).select(
-        "arrival_idx", "title", "google_breakout")
+    return T.flag_breakouts(X.signals(spark, d), _short_keywords(spark, d)).select("arrival_idx", "title", "google_breakout")
 
 
 @query("a10_platform_sources", "SELECT array_to_string(list_sort(list(DISTINCT platform)), ',') AS platforms, count(*) AS n FROM f_signals")

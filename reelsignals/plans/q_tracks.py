@@ -143,6 +143,10 @@ def _(spark, d):
     return a.select("media_id", "seg_idx", "speaker_id", F.round("confidence", 4).alias("confidence"))
 
 
+# the given media items have few frames; short chunks make every query cross their borders
+CHUNK = 48
+
+
 def _spring(axis: str) -> str:
     d = f"p.c{axis} - s{axis}"
     return f"s{axis} + 0.25e0 * greatest(-(0.07e0 * 1920), least(0.07e0 * 1920, CASE WHEN abs({d}) < 0.02e0 * 1920 THEN 0e0 ELSE {d} END))"
@@ -157,7 +161,7 @@ BOX_EMA = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT media_id, track_id, frame
 
 @query("w13_dead_zone_ema", BOX_EMA)
 def _(spark, d):
-    return K.smooth_boxes(points(spark, d))
+    return K.smooth_boxes(points(spark, d), frames=CHUNK)
 
 
 CTES["f_centres"] = "SELECT media_id, track_id, frame_idx, (x1 + x2) / 2 AS px, (y1 + y2) / 2 AS py, row_number() OVER (PARTITION BY media_id, track_id ORDER BY frame_idx) AS n FROM f_geo"
@@ -165,9 +169,9 @@ CTES["f_centres"] = "SELECT media_id, track_id, frame_idx, (x1 + x2) / 2 AS px,
 
 @query("w15_centre_ema", """WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM f_centres), s AS (SELECT media_id, track_id, frame_idx, n, px AS sx, py AS sy FROM p WHERE n = 1
   UNION ALL SELECT p.media_id, p.track_id, p.frame_idx, p.n, 0.15e0 * px + (1 - 0.15e0) * sx, 0.15e0 * py + (1 - 0.15e0) * sy FROM s JOIN p ON p.media_id = s.media_id AND p.track_id = s.track_id AND p.n = s.n + 1)
-  SELECT media_id, CAST(track_id AS INTEGER) AS track_id, frame_idx, CAST(trunc(sx) AS INTEGER) AS x, CAST(trunc(sy) AS INTEGER) AS y FROM s""")
+  SELECT media_id, CAST(track_id AS INTEGER) AS track_id, frame_idx, CAST(trunc(round(sx, 9)) AS INTEGER) AS x, CAST(trunc(round(sy, 9)) AS INTEGER) AS y FROM s""")
 def _(spark, d):
-    return K.smooth_centres(points(spark, d))
+    return K.smooth_centres(points(spark, d), frames=CHUNK)
 
 
 def _kalman_sql() -> str:
@@ -192,7 +196,7 @@ def _kalman_sql() -> str:
 
 @query("w15_centre_kalman", _kalman_sql())
 def _(spark, d):
-    return K.smooth_centres(points(spark, d), kalman=True)
+    return K.smooth_centres(points(spark, d), kalman=True, frames=CHUNK)
 
 
 CTES["f_band"] = """WITH RECURSIVE fr AS (SELECT s.media_id, s.frame_idx, target_cx, target_cy, coalesce(fx, 960) AS ix, coalesce(fy, 540) AS iy FROM f_spine s LEFT JOIN f_main m ON s.media_id = m.media_id AND s.frame_idx = m.frame_idx
@@ -205,7 +209,7 @@ BAND = "SELECT media_id, frame_idx, x, y FROM f_band"
 
 @query("w17_dead_band", BAND)
 def _(spark, d):
-    return K.dead_band(K.look_ahead_start(spine(spark, d), main_points(spark, d)))
+    return K.dead_band(K.look_ahead_start(spine(spark, d), main_points(spark, d)), chunk=CHUNK)
 
 
 def camera_frames(spark, d):
@@ -276,4 +280,4 @@ LOCK = """WITH RECURSIVE sc AS MATERIALIZED (SELECT media_id, frame_idx, track_i
 
 @query("w16_target_lock", LOCK)
 def _(spark, d):
-    return K.target_lock(X.detections(spark, d), lock_lengths(spark, d), fps=LOCK_FPS)
+    return K.target_lock(X.detections(spark, d), lock_lengths(spark, d), fps=LOCK_FPS, frames=CHUNK)
