@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import BLOCK_BITS, PROBES, SEGMENTS, BlockedBloom, build
-from .shared import forget, stored
+from .shared import forget, lean, stored
 from .texthash import mix, word_hashes
 
 SHARDS = 4
@@ -124,7 +124,7 @@ def word_blocks(docs: DataFrame, shards: int, tokens: int) -> DataFrame:
             yield full()
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where(F.length("text") > 0)
-    return rows.mapInArrow(run, "shard int, langs array<string>, sizes array<bigint>, words array<string>, owner binary, hashes binary, ids binary")
+    return rows.mapInArrow(lean(run), "shard int, langs array<string>, sizes array<bigint>, words array<string>, owner binary, hashes binary, ids binary")
 
 
 @cache
@@ -236,7 +236,7 @@ def active_counts(blocks: DataFrame, step: int, filters: list, shards: int, long
                 pack = lambda a: pa.array([a[x:y].tobytes() for x, y in zip(first, ends)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pack(keys), pack(counts.astype(np.int64)), pack(tags), pa.nulls(len(some), pa.binary())], ["p", "keys", "counts", "tags", "since"])
 
-    return blocks.select("ids", "hashes").mapInArrow(run, RANGE)
+    return blocks.select("ids", "hashes").mapInArrow(lean(run), RANGE)
 
 
 def merge_ranges(step: int, shards: int, least: int, longest: int):
@@ -274,7 +274,7 @@ def filter_of(ranges: DataFrame, column: str) -> BlockedBloom | None:
 
     n = ranges.agg(F.sum(F.octet_length(column))).first()[0] or 0
     blocks = min(MOST_BLOCKS, max(SEGMENTS, -(-n * 2 // BLOCK_BITS // SEGMENTS) * SEGMENTS))
-    return build(ranges.select(column).mapInArrow(run, "key long"), "key", blocks) if n else None
+    return build(ranges.select(column).mapInArrow(lean(run), "key long"), "key", blocks) if n else None
 
 
 def survivors(blocks: DataFrame, least: int, shards: int, longest: int, ranges: int) -> BlockedBloom | None:
@@ -317,7 +317,7 @@ def frequent_phrases(blocks: DataFrame, least: int, shards: int = SHARDS, longes
                     phrase = pc.binary_join_element_wise(*each, " ") if len(each) > 1 else each[0]
                     yield pa.RecordBatch.from_arrays([langs.take(pa.array(owner[columns[0][some]])), phrase, pa.array(np.full(len(some), len(each), np.int32)), pa.array(counts[some].astype(np.int64))], ["lang", "phrase", "len", "c"])
 
-    counted = blocks.select("langs", "words", "owner", "ids", "hashes").mapInArrow(run, "lang string, phrase string, len int, c long")
+    counted = blocks.select("langs", "words", "owner", "ids", "hashes").mapInArrow(lean(run), "lang string, phrase string, len int, c long")
     return stored(counted.groupBy("lang", "phrase", "len").agg(F.sum("c").alias("f")).where(F.col("f") >= least))
 
 

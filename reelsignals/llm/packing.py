@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .shared import lean
+
 WINDOW = 2048
 PIECE = 512
 GROUP = 256
@@ -173,4 +175,4 @@ def pack(docs: DataFrame, file: str, ranks: str | None = None, pattern: str | No
         if open_:
             yield settle(open_)
 
-    return docs.select("doc_id", "text").mapInArrow(run, kind)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), kind)

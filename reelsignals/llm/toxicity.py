@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold_of
+from .shared import fold_of, lean
 
 # Names of groups whose mention alone must not raise a score.
 IDENTITY_TERMS = (
@@ -112,7 +112,7 @@ def _piece_counts(rows: DataFrame) -> DataFrame:
                     yield from tallied()
         yield from tallied()
 
-    return rows.mapInPandas(run, "piece string, toxic long, other long").groupBy("piece").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    return rows.mapInPandas(lean(run), "piece string, toxic long, other long").groupBy("piece").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
 def _chosen_pieces(rows: DataFrame, limit: int) -> tuple[list[str], int, int]:
@@ -148,7 +148,7 @@ def _training_rows(rows: DataFrame, chosen: dict, terms: list[str]) -> list:
                 out.append((int(toxic), _packed(features(words, chosen, cache)), swapped))
             yield pd.DataFrame(out, columns=["toxic", "x", "swapped"])
 
-    found = rows.mapInPandas(run, "toxic int, x binary, swapped binary").collect()
+    found = rows.mapInPandas(lean(run), "toxic int, x binary, swapped binary").collect()
     load = lambda b: None if b is None else np.frombuffer(b, np.int32)
     return [(r["toxic"], load(r["x"]), load(r["swapped"])) for r in found]
 
@@ -227,7 +227,7 @@ def scored(docs: DataFrame, model: Model, folds: int = 5, held: int = 0) -> Data
 
     rows = docs.select("doc_id", F.coalesce(fold_of(F.col("doc_id"), folds) == held, F.lit(True)).alias("held_out"), "text")
     kind = rows.drop("text").schema.add("score", "double").add("predicted", "integer")
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(lean(run), kind)
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -239,4 +239,4 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(shared.value.scores(b.column("text").to_pylist(), cache) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
