@@ -34,7 +34,7 @@ from .texthash import mix, word_hashes
 
 SHARDS = 4
 LONGEST = 4
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 17
 SLICE = 1 << 20
 DICTIONARY_BYTES = 1 << 24
 NEVER = 1 << 14
