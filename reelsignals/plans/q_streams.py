@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import edl as E
 from ..operators import folds
+from ..operators import runs as N
 from ..operators import signals as T
 from ..operators import tracks as K
 from ..operators import transcripts as W
@@ -81,27 +82,53 @@ def _(spark, d):
     return stats.select("platform", "hour_start", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
+def shuffled_files(spark, rows, tick, parts=3):
+    """Write ``rows`` in ``parts`` files that hold rows of any time, then ``tick``, whose time is past all others."""
+    room = _room(spark)
+    rows.repartition(parts, F.xxhash64(*rows.columns[:3])).write.parquet(f"{room}/rows")
+    tick.coalesce(1).write.mode("append").parquet(f"{room}/rows")
+    return f"{room}/rows"
+
+
 @query("t03_acceleration_stream", "SELECT poll_id, video_id, round(accel, 6) AS acceleration FROM f_polls_s")
 def _(spark, d):
-    room = _room(spark)
     polls = T.add_velocity(X.video_polls(spark, d), S.ntz_micros("poll_ts")).select(
         "video_id", "poll_id", F.col("poll_ts").cast("timestamp").alias("poll_ts"), "views_per_hour")
-    polls.write.parquet(f"{room}/polls")
-    s = GT.acceleration_stream(GT.file_stream(spark, f"{room}/polls", polls.schema, files_per_trigger=1000))
-    return settle(spark, s).select("poll_id", "video_id", F.round("acceleration", 6).alias("acceleration"))
+    # one file a batch, in no order; the last poll of all closes the clock
+    tick = polls.agg((F.max("poll_ts") + F.expr("INTERVAL '500' DAY")).alias("poll_ts")).select(
+        F.lit(-1).cast("bigint").alias("video_id"), F.lit(-1).cast("bigint").alias("poll_id"), "poll_ts", F.lit(0.0).alias("views_per_hour"))
+    path = shuffled_files(spark, polls, tick)
+    s = GT.acceleration_stream(GT.file_stream(spark, path, polls.schema, files_per_trigger=1), ttl="900 days", late="490 days")
+    return settle(spark, s).where("video_id >= 0 AND NOT late").select("poll_id", "video_id", F.round("acceleration", 6).alias("acceleration"))
+
+
+def progress(spark, d):
+    e = X.progress_events(spark, d, raw_events(spark, d))
+    line = N.log_lines(e.withColumns({"step": F.lit("s"), "error": F.lit("e")}))
+    return line.select("run_id", "seq", "type", "stage", "current", "total", "line")
 
 
 @query("t04_progress_stream", _PROGRESS)
 def _(spark, d):
-    e = X.progress_events(spark, d, raw_events(spark, d)).select("run_id", "seq", "type", "stage", "current", "total")
-    return settle(spark, GP.rollup_stream(e), "update", ["run_id"]).withColumn("overall_pct", F.round("overall_pct", 6))
+    out = settle(spark, GP.rollup_stream(progress(spark, d)), "update", ["run_id"])
+    return out.withColumn("overall_pct", F.round("overall_pct", 6)).drop("log", "errors")
+
+
+@query("t04_progress_log_stream", """SELECT run_id, coalesce(string_agg(line, chr(10) ORDER BY seq) FILTER (WHERE age <= 100), '') AS log, coalesce(string_agg(line, chr(10) ORDER BY seq) FILTER (WHERE type = 'error' AND nth <= 100), '') AS errors
+  FROM (SELECT *, row_number() OVER (PARTITION BY run_id, type ORDER BY seq DESC) AS nth FROM f_loglines) GROUP BY 1""")
+def _(spark, d):
+    out = settle(spark, GP.rollup_stream(progress(spark, d)), "update", ["run_id"])
+    return out.select("run_id", F.array_join("log", "\n").alias("log"), F.array_join("errors", "\n").alias("errors"))
 
 
 def fold_files(spark, rows, keys, make, schema):
-    """Write ``rows`` as files, then fold them as a stream."""
-    room = _room(spark)
-    rows.write.parquet(f"{room}/rows")
-    return settle(spark, GS.fold_stream(GT.file_stream(spark, f"{room}/rows", rows.schema, files_per_trigger=1000), keys, "frame_idx", make, schema))
+    """Write ``rows`` as files that hold frames of any time, and a last frame of all, then fold them as a stream."""
+    last = rows.agg(F.max("frame_idx").alias("n")).select(*[
+        (F.col("n") + 100_000).cast(f.dataType).alias(f.name) if f.name == "frame_idx" else F.lit(-999_999).cast(f.dataType).alias(f.name) if f.name in keys else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in rows.schema])
+    path = shuffled_files(spark, rows, last)
+    s = GS.fold_stream(GT.file_stream(spark, path, rows.schema, files_per_trigger=1), keys, "frame_idx", make, schema, late="3000 seconds")
+    return settle(spark, s).where((F.col(keys[0]) != -999_999) & ~F.col("late")).drop("late")
 
 
 @query("t06_box_smoothing_stream", BOX_EMA)
@@ -168,7 +195,16 @@ def _(spark, d):
     return back.select(F.col("clip").cast("bigint").alias("clip"), (number - 1).alias("line_idx"), F.col("value").alias("line"))
 
 
-@query("t05_stalled_runs", """SELECT run_id, max(seq) AS last_seq FROM f_progress GROUP BY 1 HAVING max(ts) < (SELECT max(ts) FROM f_progress) - INTERVAL 6 HOUR
-  AND arg_max(type || '/' || stage, seq) <> 'stage_complete/Quality Assurance'""")
+_STALLED = """SELECT run_id, max(seq) AS last_seq FROM f_progress GROUP BY 1 HAVING max(ts) < (SELECT max(ts) FROM f_progress) - INTERVAL 6 HOUR
+  AND arg_max(type || '/' || stage, seq) <> 'stage_complete/Quality Assurance'"""
+
+
+@query("t05_stalled_runs", _STALLED)
 def _(spark, d):
     return GP.stalled_runs(X.progress_events(spark, d), F.expr("INTERVAL '6' HOUR"))
+
+
+@query("t05_watchdog_stream", _STALLED)
+def _(spark, d):
+    e = X.progress_events(spark, d, raw_events(spark, d))
+    return settle(spark, GP.silence_stream(e.select("run_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "type", "stage"), "6 hours"))

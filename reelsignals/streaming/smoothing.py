@@ -2,35 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
 
+from .ordered import ordered_fold_stream
 
-def fold_stream(frames: DataFrame, keys: list[str], order: str, make: Callable[[], object], schema: str) -> DataFrame:
-    """Run a fold class over the frames of each key; its state rests as text between batches.
+#: Seconds of frame 0, so that no watermark lies before the epoch, where Spark keeps none.
+CLOCK_START = 1_000_000_000.0
 
-    Frames of a key must arrive in order across micro-batches; a frame that comes after a
-    later one was folded fails the query, as its result would be wrong. Within a batch
-    frames are sorted here, so a key's share of one micro-batch must fit in a task: bound
-    it by the source's files per trigger.
+
+def fold_stream(frames: DataFrame, keys: Sequence[str], order: str, make: Callable[[], object], schema: str, fps: float = 30.0, late: str = "10 seconds", ttl: str = "1 day") -> DataFrame:
+    """Run a fold class over the frames of each key on the clock of ``fps`` frames a second.
+
+    Frames may come up to ``late`` of that clock out of order; one that comes later is reported (``late``), not folded.
     """
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold, last = make(), None
-        if state.exists:
-            last, text = state.get
-            fold.load(text)
-        rows = pd.concat(list(batches)).sort_values(order)
-        if last is not None and rows[order].iloc[0] <= last:
-            raise ValueError(f"{order} {rows[order].iloc[0]} of {key} arrived after {last}")
-        out = []
-        for row in rows.itertuples(index=False):
-            out += [key + r for r in fold.step(row)]
-        state.update((int(rows[order].iloc[-1]), fold.dump()))
-        yield pd.DataFrame(out, columns=names)
-
-    return frames.groupBy(*keys).applyInPandasWithState(step, schema, "last long, text string", "append", GroupStateTimeout.NoTimeout)
+    at = F.timestamp_micros(((F.lit(CLOCK_START) + F.col(order).cast("double") / fps) * 1_000_000).cast("bigint"))
+    return ordered_fold_stream(frames.withColumn("__ts", at), keys, "__ts", order, make, schema, late, ttl)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import signals as T
+from .ordered import ordered_fold_stream
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", glob: str | None = None, files_per_trigger: int = 64) -> DataFrame:
@@ -74,28 +73,29 @@ def running_scores(spark: SparkSession, events: DataFrame, out: str, state: str,
 VELOCITY = "video_id bigint, poll_id bigint, views_per_hour double, acceleration double"
 
 
+class Acceleration:
+    """Change of views per hour against the poll before; 0 for the first."""
+
+    def __init__(self):
+        self.last = None
+
+    def step(self, row) -> list[tuple]:
+        change = 0.0 if self.last is None or row.views_per_hour is None else row.views_per_hour - self.last
+        self.last = row.views_per_hour
+        return [(row.poll_id, row.views_per_hour, change)]
+
+    def dump(self) -> str:
+        return json.dumps(self.last)
+
+    def load(self, text: str):
+        self.last = json.loads(text)
+        return self
+
+
 def acceleration_stream(polls: DataFrame, ttl: str = "7 days", late: str = "1 day") -> DataFrame:
-    """Acceleration against the last snapshot of the same video.
+    """Acceleration against the last snapshot of the same video, polls in any order up to ``late``.
 
-    The snapshot is state that ends ``ttl`` of event time after the last poll.
-    ``polls``: video_id, poll_id, poll_ts (timestamp), views_per_hour.
+    A poll that comes later has no values and ``late`` set. The snapshot is state that ends ``ttl`` of event time
+    after the last poll. ``polls``: video_id, poll_id (rising in time), poll_ts (timestamp), views_per_hour.
     """
-    keep_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("poll_id")
-        prev = rows["views_per_hour"].shift(1)
-        if last is not None:
-            prev.iloc[0] = last
-        rows["acceleration"] = (rows["views_per_hour"] - prev).fillna(0.0)
-        state.update((float(rows["views_per_hour"].iloc[-1]),))
-        ends = int(rows["poll_ts"].max().timestamp() * 1000) + keep_ms
-        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        yield rows[["video_id", "poll_id", "views_per_hour", "acceleration"]]
-
-    return polls.withWatermark("poll_ts", late).groupBy("video_id").applyInPandasWithState(
-        step, VELOCITY, "last double", "append", GroupStateTimeout.EventTimeTimeout)
+    return ordered_fold_stream(polls.select("video_id", "poll_id", "views_per_hour", "poll_ts"), ["video_id"], "poll_ts", "poll_id", Acceleration, VELOCITY, late, ttl)
