@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import BLOCK_BITS, PROBES, SEGMENTS, BlockedBloom, build
-from .shared import forget, lean, stored
+from .shared import forget, lean, small_batches, stored
 from .texthash import mix, word_hashes
 
 SHARDS = 4
 LONGEST = 4
 BLOCK_TOKENS = 1 << 19
+BLOCKS_PER_FILE = 8  # of about 4 MB
 SLICE = 1 << 20
 DICTIONARY_BYTES = 1 << 24
 NEVER = 1 << 14
@@ -329,7 +330,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, covered: int
     goes if a longer frequent one holds it and has ``covered`` percent of its occurrences or more.
     A null lang is ``und``, a null text empty. Repeated rows count each. An empty table gives no row; other columns are ignored.
     """
-    blocks = stored(word_blocks(docs, shards, block_tokens))
+    blocks = stored(word_blocks(small_batches(docs), shards, block_tokens), BLOCKS_PER_FILE)
     totals = blocks.select(F.explode(F.arrays_zip("langs", "sizes")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.sizes").alias("n"))
     counts = frequent_phrases(blocks, least, shards, longest)
     words = F.split("phrase", " ")

@@ -19,11 +19,12 @@ def shared_root(spark: SparkSession) -> str:
     return checkpoint_root(spark)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, so that a
-    lost executor costs the tasks it ran and nothing before them."""
+    lost executor costs the tasks it ran and nothing before them. ``rows_per_file`` (0: no bound)
+    bounds what a reader holds of very large rows, as it takes thousands of a file's rows at once."""
     path = f"{shared_root(df.sparkSession)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -36,6 +37,18 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BATCH_BYTES = 1 << 23
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches to Python bounded to ``BATCH_BYTES`` in its session (results stay the same).
+
+    A batch lies in the executor and in the worker at once, in buffers that double as they fill.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def release() -> None:
     """Give freed memory of this Python worker back to the system; a worker lives on from task to task."""
     pa.default_memory_pool().release_unused()
