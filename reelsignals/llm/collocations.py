@@ -34,8 +34,8 @@ from .texthash import mix, word_hashes
 
 SHARDS = 4
 LONGEST = 4
-BLOCK_TOKENS = 1 << 19
-BLOCKS_PER_FILE = 8  # of about 4 MB
+BLOCK_TOKENS = 1 << 18
+BLOCKS_PER_FILE = 8  # of about 2 MB
 SLICE = 1 << 20
 DICTIONARY_BYTES = 1 << 24
 NEVER = 1 << 14
