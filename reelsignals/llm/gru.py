@@ -14,7 +14,7 @@ import numpy as np
 
 HIDDEN, EMBED, WIDTH = 24, 16, 32
 LANES, STEPS = 512, 64
-TRAIN_LANES, TRAIN_STEPS = 32, 32
+TRAIN_LANES, TRAIN_STEPS = 128, 32
 ROWS = 4096
 END = 0
 NAMES = ("embed", "wx", "wh", "b", "wc", "bc", "ww", "bw")
@@ -132,7 +132,7 @@ def window_gradients(p: dict, ids: np.ndarray, before: np.ndarray, h: np.ndarray
 class Trainer:
     """Adam over windows of a stream of documents, cut into lanes."""
 
-    def __init__(self, params: dict, rate: float = 0.01):
+    def __init__(self, params: dict, rate: float = 0.02):
         self.p, self.rate, self.t, self.tokens = {k: x.copy() for k, x in params.items()}, rate, 0, 0
         self.m = {k: np.zeros_like(x) for k, x in params.items()}
         self.v = {k: np.zeros_like(x) for k, x in params.items()}
