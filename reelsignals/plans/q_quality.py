@@ -118,6 +118,33 @@ def _(spark, d):
     return r.select("arrival_idx", R6("viral_score").alias("viral_score"), F.size("violations").alias("n_violations"))
 
 
+@query("h02_planned_cuts", """SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY viral_score DESC, moment_idx) - 1 AS segment_idx, moment_idx, start_time,
+  least(end_time, start_time + 90) AS end_time, viral_score, 0 AS n_violations FROM f_moments""")
+def _(spark, d):
+    p = H.plan_cuts(X.moments(spark, d))
+    return p.select("media_id", F.col("segment_idx").cast("long").alias("segment_idx"), "moment_idx", "start_time", "end_time", "viral_score", F.size("violations").alias("n_violations"))
+
+
+@query("h02_generated_metadata", r"""SELECT doc_id, substr(CASE WHEN trim(source) <> '' THEN trim(source) WHEN t <> '' THEN t ELSE chr(128293) || ' Must Watch!' END, 1, 100) AS title,
+  substr(CASE WHEN t <> '' THEN t ELSE 'Check out this amazing content.' END, 1, 5000) AS description, 'viral|trending|shorts' AS tags, 0 AS n_violations
+  FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)""")
+def _(spark, d):
+    g = H.generate_metadata(X.table(spark, d, "documents").select("doc_id", F.col("source").alias("theme"), "text"))
+    return g.select("doc_id", "title", "description", F.array_join("tags", "|").alias("tags"), F.size("violations").alias("n_violations"))
+
+
+@query("h02_checked_quality", """SELECT doc_id, a + b + c + e >= 3 AS passes, (a + b + c + e) * 25e0 AS overall_score, concat_ws('|', CASE WHEN a = 0 THEN 'hook_present' END,
+  CASE WHEN b = 0 THEN 'coherent' END, CASE WHEN c = 0 THEN 'natural_ending' END, CASE WHEN e = 0 THEN 'captions_accurate' END) AS issues, 0 AS n_violations FROM (SELECT doc_id,
+  CASE WHEN n_chars % 7 <= 3 THEN 1 ELSE 0 END AS a, CASE WHEN length(text) >= 20 THEN 1 ELSE 0 END AS b, CASE WHEN regexp_matches(text, '[.!?][ \n]*$') THEN 1 ELSE 0 END AS c,
+  CASE WHEN doc_id % 3 <> 0 OR lower(source) = lower(text) THEN 1 ELSE 0 END AS e FROM documents)""")
+def _(spark, d):
+    c = X.table(spark, d, "documents").select(
+        "doc_id", F.col("text").alias("transcript"), F.when(F.col("doc_id") % 3 != 0, F.col("text")).otherwise(F.col("source")).alias("captions"),
+        (F.col("n_chars") % 7).cast("double").alias("hook_start"))
+    q = H.check_quality(c)
+    return q.select("doc_id", "passes", "overall_score", F.array_join("issues", "|").alias("issues"), F.size("violations").alias("n_violations"))
+
+
 @query("h01_job_handler", """SELECT o_orderkey AS job_id, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'completed' END AS status, CASE WHEN o_orderstatus <> 'P' THEN upper(o_orderpriority) END AS result,
   CASE WHEN o_orderstatus = 'P' THEN 'cannot handle P' END AS error FROM orders""")
 def _(spark, d):
