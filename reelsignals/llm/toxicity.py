@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold_of, lean
+from .shared import fold_of, lean, small_batches
 
 # Names of groups whose mention alone must not raise a score.
 IDENTITY_TERMS = (
@@ -200,7 +200,7 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5, held: int = 0, limit: int = PIECES,
           penalty: float = 1.0, decay: float = 1e-5, terms: list[str] = IDENTITY_TERMS) -> Model:
     """Without labelled rows the model knows nothing and scores every text just under 0.5."""
-    rows = labelled_sample(docs, labels, sample, folds, held).persist()
+    rows = labelled_sample(small_batches(docs), labels, sample, folds, held).persist()
     names, pos, neg = _chosen_pieces(rows, limit)
     chosen = dict(zip(names, count()))
     if not pos or not neg:
@@ -225,7 +225,7 @@ def scored(docs: DataFrame, model: Model, folds: int = 5, held: int = 0) -> Data
             s = shared.value.scores(b.column("text").to_pylist(), cache)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select("doc_id", F.coalesce(fold_of(F.col("doc_id"), folds) == held, F.lit(True)).alias("held_out"), "text")
+    rows = small_batches(docs).select("doc_id", F.coalesce(fold_of(F.col("doc_id"), folds) == held, F.lit(True)).alias("held_out"), "text")
     kind = rows.drop("text").schema.add("score", "double").add("predicted", "integer")
     return rows.mapInArrow(lean(run), kind)
 
@@ -239,4 +239,4 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(shared.value.scores(b.column("text").to_pylist(), cache) < 0.5))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return small_batches(docs).mapInArrow(lean(run), docs.schema)
