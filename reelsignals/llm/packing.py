@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .shared import lean
+from .shared import lean, small_batches
 
 WINDOW = 2048
 PIECE = 512
@@ -175,4 +175,4 @@ def pack(docs: DataFrame, file: str, ranks: str | None = None, pattern: str | No
         if open_:
             yield settle(open_)
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run), kind)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(lean(run), kind)
